@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,21 @@ def get_session(app: str = "kronoweft", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application: they may not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kronoweft", False):
+        return
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="kronoweft-")
+    path = os.path.join(folder, "kronoweft.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f"kronoweft/{f.relative_to(home)}")
+    sc.addPyFile(path)
+    sc._kronoweft = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one of our own where none is set."""
     given = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,6 +70,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     and each reader still prunes columns and pushes filters. The table is removed when the driver ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark).rstrip('/')}/kronoweft/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
