@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kronoweft.session import cut
+
 FEED = ["tx", "source", "seq", "kind", "subject", "predicate", "object_node", "object_int", "object_text", "observed"]
 KINDS = ["SetOne", "CloseOne", "AddMany", "CloseMany", "RemoveMany", "HardDelete"]
 #: Pieces that the floors are copied to, so that a hot key's elements spread over as many tasks.
@@ -95,6 +97,7 @@ def compact(feed: DataFrame) -> DataFrame:
     Dropped: copies, everything up to a floor, beaten SetOne / CloseOne and CloseMany, adds below a close of their
     element and removed adds. Kept: all other adds (a later removal may uncover them), all removals above the floor
     and the floors. For any feeds A, B: current_values(B, base=compact(A)) = current_values(A union B).
+    The state is written to the shared folder, so that plans do not grow from batch to batch.
     """
     raw = feed.select(*FEED).where(F.col("kind").isin(KINDS) & F.col("subject").isNotNull() & F.col("predicate").isNotNull())
     raw = raw.withColumn("ok", F.struct("tx", F.coalesce("source", F.lit(0)).alias("source"), "seq")).withColumn("object", object_text())
@@ -111,4 +114,4 @@ def compact(feed: DataFrame) -> DataFrame:
     out = parts[0].select("row.*")
     for p in parts[1:]:
         out = out.unionByName(p.select("row.*"))
-    return out
+    return cut(out, "compact")
