@@ -7,6 +7,8 @@ import unicodedata
 
 from pyspark.sql import DataFrame
 
+from kronoweft.session import ship
+
 #: Letters of other scripts that look like a Latin one.
 LOOKALIKES = dict(
     zip(
@@ -40,6 +42,7 @@ def spread(df: DataFrame, key: str, least: int = 3) -> DataFrame:
     A small input, or a file with few row groups, comes in fewer partitions than the cluster has cores. Rows are
     moved by the hash of a unique key, which no hot value can unbalance.
     """
+    ship(df.sparkSession)
     want = least * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want, key)
 
@@ -67,5 +70,20 @@ def repair(text: str) -> str:
 
 
 def join_spaced(text: str, join=lambda s: s) -> str:
-    """Letters set apart by single blanks, dots or hyphens become one word (which ``join`` may split up again)."""
-    return _SPACED.sub(lambda m: join(re.sub(r"[\W_]+", "", m.group(0))), text)
+    """Letters set apart by dots, hyphens or single blanks become one word (which ``join`` may split up again).
+
+    Where a run has both, a dotted part is a word of its own.
+    """
+
+    def one(m: re.Match) -> str:
+        out, run = [], ""
+        for part in m.group(0).split():
+            letters = re.sub(r"[\W_]+", "", part)
+            if len(letters) > 1:
+                out += [join(run)] * bool(run) + [join(letters)]
+                run = ""
+            else:
+                run += letters
+        return " ".join(out + [join(run)] * bool(run))
+
+    return _SPACED.sub(one, text)
