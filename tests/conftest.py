@@ -10,7 +10,7 @@ from kronoweft.session import get_session, ship  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "3g", "spark.sql.adaptive.coalescePartitions.enabled": "true"})
+    s = get_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "3g"})
     s.sparkContext.setLogLevel("ERROR")
     ship(s)
     yield s
