@@ -4,7 +4,9 @@
 cover it, the one with the greatest (start, order). ``merge_type2`` takes a snapshot into an existing dimension:
 attribute hashes are compared with the current versions, changed rows are closed and new versions opened.
 
-How a key's timeline is cut up so that no key, however hot, is swept by one task:
+Keys of up to ``HOT`` rows are swept whole, each in one pass over its rows in order: an open version is compared
+with the next segment by attribute hash, and closed where that differs or nothing covers. How the timeline of a hotter
+key is cut up, so that it is not swept by one task:
 
 1. Equal intervals collapse to the greatest order (map side). Every fact starts in a cell and ends in a cell of
    2**bits seconds. Only cells in which something starts or ends are active.
@@ -31,6 +33,8 @@ from kronoweft.operators.scans import cell_of, shift_across
 from kronoweft.session import cut
 
 OPEN = (1 << 63) - 1
+#: Rows of a key up to which one task sweeps it whole, and hot keys that are broadcast at most (beyond it, all keys are cut up).
+HOT, MOST_HOT = 20_000, 10_000
 KEYS = ["subject", "predicate"]
 
 
@@ -121,22 +125,42 @@ def backgrounds(bits: int):
     return run
 
 
+def _joined(segments: list[tuple], at: int) -> Iterator[tuple]:
+    """(f, t, v) of sweep's segments, with equal neighbours that adjoin made one version. at: place of v in a row."""
+    last = None
+    for f, t, r in segments:
+        v = r[2][at]
+        if last and last[1] == f and hash(last[2]) == hash(v) and last[2] == v:
+            last = (last[0], t, v)
+        else:
+            if last:
+                yield last
+            last = (f, t, v)
+    if last:
+        yield last
+
+
+VERSION_SCHEMA = pa.schema([("subject", pa.int64()), ("predicate", pa.string()), ("v", pa.string()), ("f", pa.int64()), ("t", pa.int64())])
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Versions of each key from its rows (subject, predicate, f, o, t, v) in order of (f, o)."""
+
+    def of(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        for f, t, v in _joined(sweep([(r[2], r[4], r) for r in rows]), 5):
+            yield (*key, v, f, t)
+
+    yield from _batched((x for k, g in _groups(batches, 2) for x in of(k, g)), VERSION_SCHEMA)
+
+
 def cell_segments(bits: int):
     """For each (key, cell): segments up to the start of the next active cell, equal neighbours joined."""
 
     def of(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         low = key[2] << bits
         limit = next((r[7] for r in rows if r[7] is not None), OPEN)
-        last = None
-        for f, t, r in sweep([(max(r[3], low), min(r[5], limit), r) for r in rows if r[3] is not None]):
-            if last and last[1] == f and last[2] == r[2][6]:
-                last = (last[0], t, last[2])
-            else:
-                if last:
-                    yield (*key, *last)
-                last = (f, t, r[2][6])
-        if last:
-            yield (*key, *last)
+        for x in _joined(sweep([(max(r[3], low), min(r[5], limit), r) for r in rows if r[3] is not None]), 6):
+            yield (*key, *x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batched((x for k, g in _groups(batches, 3) for x in of(k, g)), SEGMENT_SCHEMA)
@@ -170,11 +194,25 @@ def versions(segs: DataFrame) -> DataFrame:
     return done.select(*KEYS, "v", "f", F.col("next.closed").alias("t")).unionByName(final.select(*KEYS, "v", "f", F.col("total").alias("t")))
 
 
-def type2_history(facts: DataFrame, value: Column, start: str = "valid_from", end: str = "valid_to", order: str = "fact_id", bits: int = 20) -> DataFrame:
+def settle(rows: DataFrame, bits: int = 20, hot: int | None = None) -> DataFrame:
+    """subject, predicate, v, f, t: versions of each key from intervals subject, predicate, f, o, t, v with f < t."""
+    hot = HOT if hot is None else hot
+    rows = cut(rows.select(*KEYS, "f", "o", "t", "v"), "intervals")
+    busy = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*KEYS)
+    busy = cut(busy, "hot")
+    n = busy.count()
+    if n > MOST_HOT:
+        return versions(segments(rows, bits))
+    cold = rows.join(F.broadcast(busy), KEYS, "left_anti") if n else rows
+    out = cold.repartition(*KEYS).sortWithinPartitions(*KEYS, "f", "o").mapInArrow(whole_keys, "subject long, predicate string, v string, f long, t long")
+    return out.unionByName(versions(segments(rows.join(F.broadcast(busy), KEYS, "left_semi"), bits))) if n else out
+
+
+def type2_history(facts: DataFrame, value: Column, start: str = "valid_from", end: str = "valid_to", order: str = "fact_id", bits: int = 20, hot: int | None = None) -> DataFrame:
     """subject, predicate, value, valid_from, valid_to (-1 = open) of every version of each subject's attribute."""
     base = facts.select(*KEYS, F.coalesce(F.col(start), F.lit(0)).cast("long").alias("f"), F.coalesce(F.col(end), F.lit(OPEN)).cast("long").alias("t"), F.col(order).cast("long").alias("o"), value.cast("string").alias("v"))
     base = base.where("subject IS NOT NULL AND predicate IS NOT NULL AND v IS NOT NULL AND f < t").withColumn("subject", F.col("subject").cast("long"))
-    out = versions(segments(base, bits))
+    out = settle(base, bits, hot)
     return out.select(*KEYS, F.col("v").alias("value"), F.col("f").alias("valid_from"), F.when(F.col("t") == OPEN, F.lit(-1)).otherwise(F.col("t")).alias("valid_to"))
 
 

@@ -54,9 +54,8 @@ def hop(segments: DataFrame, predicate: str, timelines: DataFrame, bits: int = 2
     left = segments.select("subject", F.substring_index("value", ":", -1).cast("long").alias("node"), F.col("valid_from").alias("f1"), F.coalesce("valid_to", F.lit(OPEN)).alias("t1")).where(F.col("value").startswith("node:"))
     right = timelines.where(F.col("predicate") == predicate).select(F.col("subject").alias("node"), "value", F.col("valid_from").alias("f2"), F.coalesce("valid_to", F.lit(OPEN)).alias("t2"))
     met = left.join(right, "node").where("f1 < t2 AND f2 < t1")
-    segs = met.select("subject", F.lit(predicate).alias("predicate"), F.greatest("f1", "f2").alias("f"), F.least("t1", "t2").alias("t"), F.col("value").alias("v"))
-    segs = segs.withColumn("cell", cell_of(F.col("f"), bits)).select(*KEY, "cell", "f", "t", "v")
-    out = h.versions(segs)
+    rows = met.select("subject", F.lit(predicate).alias("predicate"), F.greatest("f1", "f2").alias("f"), F.least("t1", "t2").alias("t"), F.lit(0).cast("long").alias("o"), F.col("value").alias("v"))
+    out = h.settle(rows, bits)
     return out.select(*KEY, F.col("v").alias("value"), F.col("f").alias("valid_from"), F.when(F.col("t") != OPEN, F.col("t")).alias("valid_to"))
 
 

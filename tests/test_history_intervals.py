@@ -37,11 +37,17 @@ def timeline(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,bits", [(0, 0), (1, 1), (2, 2), (3, 3), (4, 20)])
-def test_history(spark, rows, seed, bits):
+@pytest.mark.parametrize("seed,bits,hot", [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 25), (4, 20, 100), (5, 2, 100)])
+def test_history(spark, rows, seed, bits, hot):
     data = facts(60, seed, hot=seed % 2 == 1)
     df = spark.createDataFrame(data + data[:10], FACTS).repartition(3)
-    assert rows(history.type2_history(df, F.col("v"), bits=bits)) == timeline(data)
+    assert rows(history.type2_history(df, F.col("v"), bits=bits, hot=hot)) == timeline(data)
+
+
+def test_history_without_broadcast(spark, rows, monkeypatch):
+    monkeypatch.setattr(history, "MOST_HOT", 0)
+    data = facts(60, 9)
+    assert rows(history.type2_history(spark.createDataFrame(data, FACTS), F.col("v"), bits=2, hot=5)) == timeline(data)
 
 
 def test_history_odd(spark, rows):
