@@ -20,15 +20,19 @@ def floors(log: DataFrame) -> DataFrame:
     return log.where("op = 'HardDelete'").groupBy(*KEY).agg(F.max("ok").alias("floor"))
 
 
-def live(log: DataFrame, ops: list[str]) -> DataFrame:
-    """Rows of the given operations above the floors. Logs without hard deletes join an empty side."""
-    return above_floor(log.where(F.col("op").isin(ops)), floors(log), F.col("ok"))
+def live(log: DataFrame, ops: list[str], plain: bool = False) -> DataFrame:
+    """Rows of the given operations above the floors.
+
+    ``plain`` says that the log's source cannot hold hard deletes or removals, which saves the joins with them.
+    """
+    rows = log.where(F.col("op").isin(ops))
+    return rows if plain else above_floor(rows, floors(log), F.col("ok"))
 
 
-def one_history(log: DataFrame) -> DataFrame:
+def one_history(log: DataFrame, plain: bool = False) -> DataFrame:
     """Version rows of one-valued predicates; object NULL is a close, which is always open-ended."""
     close = F.col("op") == "CloseOne"
-    return live(log, ONE).select(
+    return live(log, ONE, plain).select(
         *KEY, "ok", F.when(~close, F.col("object")).alias("object"), F.coalesce("valid_from", F.lit(0)).alias("valid_from"),
         F.when(~close, F.col("valid_to")).alias("valid_to"), "source",
     )
@@ -40,9 +44,9 @@ def heads(history: DataFrame, by: list[str] = KEY) -> DataFrame:
     return history.groupBy(*by).agg(F.max_by(F.struct(*rest), "ok").alias("h")).select(*by, "h.*")
 
 
-def one(log: DataFrame) -> DataFrame:
+def one(log: DataFrame, plain: bool = False) -> DataFrame:
     """Current head per key: the last change by order key, whatever its valid time; object NULL if that is a close."""
-    return heads(one_history(log))
+    return heads(one_history(log, plain))
 
 
 def tombstones(log: DataFrame) -> DataFrame:
@@ -50,18 +54,19 @@ def tombstones(log: DataFrame) -> DataFrame:
     return live(log, ["RemoveMany"]).select(*KEY, F.explode("observed").alias("seq")).distinct()
 
 
-def many_history(log: DataFrame, seq: Column | None = None) -> DataFrame:
+def many_history(log: DataFrame, seq: Column | None = None, plain: bool = False) -> DataFrame:
     """Version rows of many-valued predicates per element: adds (without removed ones) and closes."""
     seq = F.col("ok") if seq is None else seq
-    rows = live(log, MANY).where("object IS NOT NULL").withColumn("seq", seq).withColumn("is_add", F.col("op") == "AddMany")
-    gone = tombstones(log).withColumn("gone", F.lit(True))
-    rows = rows.join(gone, [*KEY, "seq"], "left").where("NOT is_add OR gone IS NULL")
+    rows = live(log, MANY, plain).where("object IS NOT NULL").withColumn("seq", seq).withColumn("is_add", F.col("op") == "AddMany")
+    if not plain:
+        gone = tombstones(log).withColumn("gone", F.lit(True))
+        rows = rows.join(gone, [*KEY, "seq"], "left").where("NOT is_add OR gone IS NULL")
     return rows.select(*KEY, "ok", "object", "is_add", F.coalesce("valid_from", F.lit(0)).alias("valid_from"), F.when(F.col("is_add"), F.col("valid_to")).alias("valid_to"), "source")
 
 
-def many(log: DataFrame, seq: Column | None = None) -> DataFrame:
+def many(log: DataFrame, seq: Column | None = None, plain: bool = False) -> DataFrame:
     """Elements present: the greatest live row of the element is an add."""
-    return heads(many_history(log, seq), [*KEY, "object"]).where("is_add")
+    return heads(many_history(log, seq, plain), [*KEY, "object"]).where("is_add")
 
 
 def edge_props(log: DataFrame) -> DataFrame:
@@ -89,10 +94,10 @@ def touched(tail: DataFrame) -> DataFrame:
     return tail.where("predicate IS NOT NULL").select(*KEY).distinct()
 
 
-def observe_incremental(before: DataFrame, base: DataFrame, tail: DataFrame) -> DataFrame:
+def observe_incremental(before: DataFrame, base: DataFrame, tail: DataFrame, plain: bool = False) -> DataFrame:
     """``one`` after the tail: keys it touches are folded anew from base and tail, all others kept from ``before``."""
     keys = touched(tail)
-    fresh = one(merge(base, tail).join(keys, KEY, "left_semi"))
+    fresh = one(merge(base, tail).join(keys, KEY, "left_semi"), plain)
     return before.join(keys, KEY, "left_anti").unionByName(fresh)
 
 

@@ -15,14 +15,14 @@ COMPARE = {"<": Column.__lt__, "<=": Column.__le__, "==": Column.__eq__, "!=": C
 
 
 class Snapshot:
-    """State of a log: lazy DataFrames, each derived once. seq: the order number that removals name."""
+    """State of a log: lazy DataFrames, each derived once. seq: the order number that removals name; plain: see fold.live."""
 
-    def __init__(self, log: DataFrame, attrs: DataFrame | None = None, embeddings: DataFrame | None = None, seq: Column | None = None):
-        self.log, self._attrs, self.embeddings, self.seq = log, attrs, embeddings, seq
+    def __init__(self, log: DataFrame, attrs: DataFrame | None = None, embeddings: DataFrame | None = None, seq: Column | None = None, plain: bool = False):
+        self.log, self._attrs, self.embeddings, self.seq, self.plain = log, attrs, embeddings, seq, plain
 
     @cached_property
     def one_history(self) -> DataFrame:
-        return fold.one_history(self.log)
+        return fold.one_history(self.log, self.plain)
 
     @cached_property
     def one(self) -> DataFrame:
@@ -30,7 +30,7 @@ class Snapshot:
 
     @cached_property
     def many_history(self) -> DataFrame:
-        return fold.many_history(self.log, self.seq)
+        return fold.many_history(self.log, self.seq, self.plain)
 
     @cached_property
     def many(self) -> DataFrame:

@@ -29,7 +29,7 @@ REQUIRED = ["title", "status", "assigned-to", "component"]
 
 
 def _facts(spark: SparkSession, d: str) -> Snapshot:
-    return Snapshot(bridge.facts(spark, d), bridge.attrs(spark, d))
+    return Snapshot(bridge.facts(spark, d), bridge.attrs(spark, d), plain=True)
 
 
 def _feed(spark: SparkSession, d: str) -> Snapshot:
@@ -116,12 +116,12 @@ def _halves(spark, d):
 
 
 def read_merge(spark, d):
-    return _show(fold.one(fold.merge(*_halves(spark, d))), "subject", "predicate", "object", "ok")
+    return _show(fold.one(fold.merge(*_halves(spark, d)), plain=True), "subject", "predicate", "object", "ok")
 
 
 def observe_incremental(spark, d):
     base, tail = _halves(spark, d)
-    return _show(fold.observe_incremental(fold.one(base), base, tail), "subject", "predicate", "object", "ok")
+    return _show(fold.observe_incremental(fold.one(base, plain=True), base, tail, plain=True), "subject", "predicate", "object", "ok")
 
 
 def late_arrival(spark, d):
@@ -134,13 +134,13 @@ def late_arrival(spark, d):
 def suppress_noop(spark, d):
     base, tail = _halves(spark, d)
     batch = tail.where("op = 'SetOne'").withColumn("line", F.col("ok")).select("line", "subject", "predicate", "object", "valid_from", "valid_to", "source")
-    return fold.suppress_one(batch, fold.one(base)).groupBy("predicate").agg(F.count("*").alias("kept"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    return fold.suppress_one(batch, fold.one(base, plain=True)).groupBy("predicate").agg(F.count("*").alias("kept"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
 
 
 def suppress_noop_many(spark, d):
     base, tail = _halves(spark, d)
     batch = tail.where("op = 'AddMany'").withColumn("line", F.col("ok")).select("line", "subject", "predicate", "object", "valid_from", "valid_to", "source")
-    return fold.suppress_many(batch, fold.many_history(base).where("is_add")).groupBy("predicate").agg(F.count("*").alias("kept"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    return fold.suppress_many(batch, fold.many_history(base, plain=True).where("is_add")).groupBy("predicate").agg(F.count("*").alias("kept"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
 
 
 # --- point reads and timelines ------------------------------------------------------------------------------------
@@ -432,10 +432,10 @@ def search_expand(spark, d):
     log = c.select(F.col("c_custkey").alias("ok"), F.lit("AddMany").alias("op"), (F.col("c_custkey") % 500).alias("subject"), F.lit("leads-to").alias("predicate"), node_(F.col("c_custkey")).alias("object"))
     log = log.withColumns({"valid_from": F.lit(0).cast("long"), "valid_to": F.lit(None).cast("long"), "source": F.lit(None).cast("string"), "observed": F.lit(None).cast("array<bigint>")})
     # customers are of another id space than the vectors' labels
-    s = Snapshot(log, attrs, rows)
+    s = Snapshot(log, attrs, rows, plain=True)
     vector = rows.where("id = 0").first()["x"]
     hits = Pipeline(s, mask=MASK, max_nodes=100).similar_to(list(vector), "T3", 10)
-    return Pipeline(Snapshot(log, attrs.limit(0)), hits.df, max_nodes=100).expand("leads-to").df
+    return Pipeline(Snapshot(log, attrs.limit(0), plain=True), hits.df, max_nodes=100).expand("leads-to").df
 
 
 def pipeline_similar(spark, d):
@@ -496,9 +496,9 @@ def completeness(spark, d):
 def _maintained(spark, d):
     base, tail = _halves(spark, d)
     over = rules.subjects(bridge.attrs(spark, d), "Issue", MASK)
-    old = fold.one_history(base)
+    old = fold.one_history(base, plain=True)
     before = rules.conformance(RELEASE, old, over)
-    return rules.maintain(RELEASE, before, rules.supports(RELEASE, old, over), fold.one_history(fold.merge(base, tail)), over, fold.touched(tail))
+    return rules.maintain(RELEASE, before, rules.supports(RELEASE, old, over), fold.one_history(fold.merge(base, tail), plain=True), over, fold.touched(tail))
 
 
 def conformance_incremental(spark, d):
@@ -512,7 +512,7 @@ def conformance_changes(spark, d):
 def live_diff(spark, d):
     """What a registered query (who watches what) gained and lost with the tail."""
     base, tail = _halves(spark, d)
-    old, new = (_show(temporal.asof_one(fold.one_history(x), AT), "subject", "predicate", "object") for x in (base, fold.merge(base, tail)))
+    old, new = (_show(temporal.asof_one(fold.one_history(x, plain=True), AT), "subject", "predicate", "object") for x in (base, fold.merge(base, tail)))
     return new.subtract(old).withColumn("change", F.lit("added")).unionByName(old.subtract(new).withColumn("change", F.lit("removed")))
 
 
@@ -521,10 +521,10 @@ def live_completeness(spark, d):
     base, tail = _halves(spark, d)
     over = rules.subjects(bridge.attrs(spark, d), "Issue", MASK)
     none = spark.createDataFrame([], "subject long, predicate string, object long")
-    before = rules.completeness(over, fold.one(base), none, REQUIRED)
+    before = rules.completeness(over, fold.one(base, plain=True), none, REQUIRED)
     hit = over.join(fold.touched(tail).where(F.col("predicate").isin(REQUIRED)), "subject", "left_semi")
     whole = fold.merge(base, tail).join(hit, "subject", "left_semi")
-    again = rules.completeness(hit, fold.one(whole), none, REQUIRED)
+    again = rules.completeness(hit, fold.one(whole, plain=True), none, REQUIRED)
     return before.join(hit.withColumnRenamed("subject", "node"), "node", "left_anti").unionByName(again)
 
 
