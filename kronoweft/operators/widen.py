@@ -31,7 +31,11 @@ class Attribute:
 
 
 def plain_name(c: Column) -> Column:
-    """Lower case, without outer white space, words joined by a hyphen."""
+    """Lower case, without outer white space, words joined by a hyphen. Names that are so already are only looked at."""
+    return F.when(c.rlike("^[a-z]+(-[a-z]+)*$"), c).otherwise(_plain_name(c))
+
+
+def _plain_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", ""), r"(?U)[\s_-]+", "-")
 
 
