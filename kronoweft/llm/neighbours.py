@@ -129,17 +129,36 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def _top(q: np.ndarray, qid: np.ndarray, p: np.ndarray, pid: np.ndarray, k: int, spare: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest points by (squared distance, id) of each query, itself excluded: query ids, point ids, distances."""
     a, b, d = [], [], []
+    if not len(p):
+        q = q[:0]
+    else:
+        # around the middle of the points, where the products lose the least precision
+        middle = p.mean(0)
+        p_near = p - middle
+        longest = (p_near * p_near).sum(1).max()
     m = min(len(p), k + 1 + spare)
     for i in range(0, len(q), 512):
-        s = _squared(q[i : i + 512], p)
+        own = q[i : i + 512]
+        s = _squared(own - middle, p_near)
         near = np.argpartition(s, m - 1, axis=1)[:, :m] if m < len(p) else np.tile(np.arange(len(p)), (len(s), 1))
-        exact = ((q[i : i + 512, None, :] - p[near]) ** 2).sum(2)
+        exact = ((own[:, None, :] - p[near]) ** 2).sum(2)
         ids = pid[near]
         exact = np.where(ids == qid[i : i + 512, None], np.inf, exact)
         order = np.lexsort((ids, exact), axis=1)[:, :k]
-        a.append(np.repeat(qid[i : i + 512], order.shape[1]))
-        b.append(np.take_along_axis(ids, order, 1).ravel())
-        d.append(np.take_along_axis(exact, order, 1).ravel())
+        ids, exact = np.take_along_axis(ids, order, 1), np.take_along_axis(exact, order, 1)
+        if m < len(p):
+            # where more points than were looked at may be as near as the last of them, all of those are
+            last = np.partition(np.take_along_axis(s, near, 1), min(k, m - 1), axis=1)[:, min(k, m - 1)]
+            bound = last + 1e-12 * (longest + ((own - middle) ** 2).sum(1))
+            for r in np.flatnonzero((s <= bound[:, None]).sum(1) > m):
+                at = np.flatnonzero(s[r] <= bound[r])
+                at = at[pid[at] != qid[i + r]]
+                far = ((own[r] - p[at]) ** 2).sum(1)
+                first = np.lexsort((pid[at], far))[:k]
+                ids[r, : len(first)], exact[r, : len(first)] = pid[at][first], far[first]
+        a.append(np.repeat(qid[i : i + 512], ids.shape[1]))
+        b.append(ids.ravel())
+        d.append(exact.ravel())
     if not a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)

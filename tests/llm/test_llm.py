@@ -72,6 +72,16 @@ def test_neighbours(spark, rows, case, monkeypatch):
     assert neighbours.recall(near, df, 4) >= 0.99
 
 
+def test_equal_distances_go_to_the_smaller_id():
+    p = np.array([[float(i), float(j)] for i in range(15) for j in range(15)] * 3)
+    pid = np.random.default_rng(1).permutation(len(p)).astype(np.int64)
+    a, b, _ = neighbours._top(p, pid, p, pid, 5)
+    for x in range(0, len(p), 7):
+        d = ((p - p[x]) ** 2).sum(1)
+        want = [i for _, i in sorted((float(v), int(i)) for v, i in zip(d, pid) if i != pid[x])[:5]]
+        assert b[a == pid[x]].tolist() == want
+
+
 def test_neighbours_odd(spark, rows):
     v = "vector_id bigint, node bigint, vector array<float>, x int, leaf int"
     nan, inf = float("nan"), float("inf")
