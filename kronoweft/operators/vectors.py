@@ -214,6 +214,19 @@ def search(indexed: DataFrame, ivf: Ivf, queries: DataFrame, k: int = 10, probes
     return out.select("query", "id", "dist", (1 / (1 + F.col("dist"))).alias("score"), "rank")
 
 
+def calibrated_probes(indexed: DataFrame, ivf: Ivf, k: int = 10, target: float = 0.97, sample: int = 100) -> int:
+    """The least number of probed cells that hold the target share of exact neighbours of ``sample`` rows.
+
+    The sample is taken by the hash of the ids and compared with all rows.
+    """
+    queries = indexed.select("id", "x").orderBy(F.xxhash64("id")).limit(sample)
+    xs = {r["id"]: np.array(r["x"], np.float64) for r in queries.collect()}
+    near = knn(indexed, queries, k).join(indexed.select("id", "cell"), "id").select("query", "cell").collect()
+    place = {i: {int(c): n for n, c in enumerate(ivf.probes(x, len(ivf.centres)))} for i, x in xs.items()}
+    needed = sorted(place[r["query"]][r["cell"]] + 1 for r in near)
+    return needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)] if needed else 1
+
+
 def search_complete(indexed: DataFrame, ivf: Ivf, query: list[float], k: int = 10, probes: int = 8, budget: int = 4096) -> tuple[DataFrame, int, bool]:
     """Probed cells, then the other cells nearest first, scored exactly while they fit the budget.
 

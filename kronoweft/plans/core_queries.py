@@ -391,27 +391,28 @@ def topk_score(spark, d):
 def _trained(spark: SparkSession, d: str):
     rows = _emb(spark, d)[0]
     ivf = vectors.Ivf.train(rows)
-    return ivf, vectors.index(rows, ivf)
+    indexed = vectors.index(rows, ivf)
+    return ivf, indexed, vectors.calibrated_probes(indexed, ivf)
 
 
 def ann_ivf(spark, d):
-    ivf, indexed = _trained(spark, d)
-    return _near(vectors.search(indexed, ivf, _emb(spark, d)[2], probes=8, rerank=10))
+    ivf, indexed, probes = _trained(spark, d)
+    return _near(vectors.search(indexed, ivf, _emb(spark, d)[2], probes=probes, rerank=128))
 
 
 def ann_rerank(spark, d):
-    ivf, indexed = _trained(spark, d)
-    return _near(vectors.search(indexed, ivf, _emb(spark, d)[2], probes=32, rerank=256))
+    ivf, indexed, probes = _trained(spark, d)
+    return _near(vectors.search(indexed, ivf, _emb(spark, d)[2], probes=probes, rerank=256))
 
 
 def ann_complete(spark, d):
-    ivf, indexed = _trained(spark, d)
+    ivf, indexed, _ = _trained(spark, d)
     q = _emb(spark, d)[0].where("id = 0").first()["x"]
     return _near(vectors.search_complete(indexed, ivf, list(q), budget=10**9)[0])
 
 
 def ann_fit(spark, d):
-    ivf, indexed = _trained(spark, d)
+    ivf, indexed, _ = _trained(spark, d)
     return spark.createDataFrame([vectors.fit(indexed, ivf)], "trained double, live double, ratio double")
 
 
