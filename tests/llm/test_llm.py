@@ -45,6 +45,29 @@ def test_currency(spark, rows):
     assert {r[0]: r[2] for r in rows(survivor.best_representative(c))}[500] == 1001
 
 
+def test_currency_among_undated(spark, rows):
+    """junior, then mid, then senior; junior and senior are never dated together, and nobody steps to or from guest."""
+    data = [(4 * i + n, i, "job", v, 10 + n, "hr", "", 0) for i in range(60) for n, v in enumerate(["junior", "mid"] if i < 30 else ["mid", "senior"])]
+    undated = [(500, ["senior", "junior"]), (501, ["senior", "mid", "junior"]), (502, ["senior", "guest", "junior"]), (503, ["guest", "lodger"])]
+    data += [(10 * s + n, s, "job", v, None, "hr", "", 0) for s, values in undated for n, v in enumerate(values)]
+    data += [(6000, 600, "job", "junior", 5, "hr", "", 0), (6001, 600, "job", "senior", None, "hr", "", 0), (6002, 600, "job", "mid", None, "hr", "", 0)]
+    data += [(6010, 601, "job", "senior", 3, "hr", "", 0), (6011, 601, "job", "guest", 5, "hr", "", 0), (6012, 601, "job", "mid", None, "hr", "", 0)]
+    data += [(6020, 602, "job", "junior", None, "hr", "", 0), (6021, 602, "job", "senior", None, "", "", 0)]
+    c = survivor.candidates(spark.createDataFrame(data, FACTS), spark.createDataFrame([(1, "hr", 90)], SOURCES), ["job"])
+    got = {r[0]: r[2] for r in rows(survivor.best_representative(c, survivor.learn_currency(c), missing="learned"))}
+    # no timestamps in the group: the learned last one; nothing learned of guest, so fact_id settles it
+    assert (got[500], got[501], got[502], got[503]) == (5000, 5010, 5021, 5031)
+    # two undated ones above the dated one; one that nothing orders against the latest dated one; trust goes first
+    assert (got[600], got[601], got[602]) == (6001, 6011, 6020)
+
+
+def test_precedence_in_cycles():
+    later, rank = {"a": ["b"], "b": ["c"], "c": ["a", "d"], "d": []}, {"a": -1.0, "b": 0.0, "c": 1.0, "d": 2.0}
+    pairs = [(x, y) for x in "abcd" for y in "abcd" if x < y]
+    for block in (1, 4096):
+        assert sorted(survivor.precedence(later, rank, pairs, block)) == [(x, y, 1) for x, y in pairs]
+
+
 def brute_near(points, k):
     out = []
     for a, x in points.items():
