@@ -50,19 +50,29 @@ class Snapshot:
 
 @dataclass(frozen=True)
 class Pipeline:
-    """A chain of steps over ranked nodes: df has id, score, ord (place in the list)."""
+    """A chain of steps over ranked nodes: df has id, score, ord (place in the list).
+
+    max_nodes cuts the list after the source and each expand. With None nothing is cut, and ord is what the list is
+    ordered by instead of the place, since counting places over all rows would need one task.
+    """
 
     snap: Snapshot
     df: DataFrame | None = None
     mask: int = ALL_LABELS
-    max_nodes: int = 3000
+    max_nodes: int | None = 3000
 
     def _ranked(self, df: DataFrame, *order: Column) -> Pipeline:
         """Number the rows and cut to max_nodes. The window sees at most max_nodes rows, which the limit keeps."""
+        if self.max_nodes is None:
+            return replace(self, df=df.select("id", "score", F.struct(*order).alias("ord")))
         cut = df.orderBy(*order).limit(self.max_nodes)
         return replace(self, df=cut.withColumn("ord", F.row_number().over(Window.orderBy(*order))).select("id", "score", "ord"))
 
-    def nodes(self, ids: list[int]) -> Pipeline:
+    def nodes(self, ids: list[int] | DataFrame) -> Pipeline:
+        """The listed nodes in the order of the list, or those of a DataFrame with node in the order of their ids."""
+        if isinstance(ids, DataFrame):
+            df = ids.where("node IS NOT NULL").select(F.col("node").alias("id"), F.lit(1.0).alias("score")).distinct()
+            return self._ranked(self._shown(df), F.col("id"))
         spark = self.snap.log.sparkSession
         df = spark.createDataFrame([(i, 1.0, n) for n, i in enumerate(dict.fromkeys(ids))], "id long, score double, ord int")
         return self._ranked(self._shown(df), F.col("ord"))

@@ -445,10 +445,9 @@ def pipeline_similar(spark, d):
 
 
 def pipeline_compose(spark, d):
-    """Issues with a low priority number whose title is known, and who is assigned to them: ids in order."""
+    """Who is assigned to an issue with a low priority number whose title is known, over all issues."""
     s = _facts(spark, d)
-    ids = [r[0] for r in s.attrs.where("type = 'Issue'").orderBy("node").limit(3000).select("node").collect()]
-    p = Pipeline(s, mask=MASK).nodes(ids).has_value("title").int_cmp("priority", "<=", 2).expand("assigned-to").filter_type("Person")
+    p = Pipeline(s, mask=MASK, max_nodes=None).nodes(s.attrs.where("type = 'Issue'")).has_value("title").int_cmp("priority", "<=", 2).expand("assigned-to").filter_type("Person")
     return p.df.select("id", "score")
 
 

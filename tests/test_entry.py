@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from kronoweft.functions import calendar
 from kronoweft.model import OBJECT, object_text
 from kronoweft.operators import fold, temporal
+from kronoweft.operators.snapshot import Pipeline, Snapshot
 from kronoweft.sources import csvfacts
 from kronoweft.streaming import live
 
@@ -34,6 +35,28 @@ def test_against_sql(spark, rows, name):
     assert sorted(map(str, rows(df, *names))) == sorted(map(str, cur.fetchall()))
 
 
+def test_compose_takes_all_issues(spark, rows):
+    """7,339 issues, of which the SQL takes the first 3,000; without that limit it checks the whole result."""
+    d = "/root/testdata/sf0.1"
+    c = duckdb.connect()
+    for t in ("fact_rows", "node_rows", "pred_defs"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    first = sorted(c.execute(entry.oracle_sql()["pipeline_compose"]).fetchall())
+    whole = sorted(c.execute(entry.oracle_sql()["pipeline_compose"].replace("LIMIT 3000", "")).fetchall())
+    assert len(first) < len(whole)
+    assert rows(entry.queries()["pipeline_compose"](spark, d), "id", "score") == whole
+
+
+def test_pipeline_without_cap_keeps_the_order(spark):
+    """Uncapped steps lead to the same order as capped ones, ties by id included."""
+    log = spark.createDataFrame([(n, "AddMany", s, p, (0, o, None, None, None, None), 0, None, None, None) for n, (s, p, o) in enumerate([(1, "a", 12), (1, "a", 11), (2, "a", 10), (11, "b", 21), (12, "b", 20), (10, "b", 5), (3, "a", 9)])], LOG)
+    s = Snapshot(log, spark.createDataFrame([(n, "T", None) for n in (1, 2, 3, 3)], "node long, type string, label int"))
+    for most in (100, None):
+        p = Pipeline(s, max_nodes=most).nodes(s.attrs).expand("a").expand("b")
+        assert [r["id"] for r in p.df.orderBy("ord").collect()] == [21, 20, 5]
+        assert [(r["id"], r["ord"]) for r in p.cap(2).df.orderBy("ord").collect()] == [(21, 1), (20, 2)]
+
+
 def test_calendar(spark):
     r = spark.range(1).select(*[calendar.tag(F.lit(t), F.lit(1_687_651_200), 540, start_month=4) for t in (1_685_403_600, -1)]).first()
     assert tuple(r) == ("2023-05-30 08:40 +09:00 (Tue, 26 days before, FY2023 Q1)", "1970-01-01 08:59 +09:00 (Thu, 19533 days before, FY1969 Q4)")
