@@ -8,7 +8,8 @@ Transducers, composed in this order for every clause of a text:
    French and Spanish at once, since languages mix within texts and tags are unreliable. Other words become ``-``.
 3. Clause patterns: weighted regular expressions over the symbols. A word alone scores little; insults need an
    addressee, hatred a group and what is said of it, sexual words each other.
-4. Dampers: negation inside an insult, reported speech before it and a clinical or technical context lower a clause.
+4. Dampers: negation inside an insult and reported speech before it lower what is no sexual pattern; a clinical or
+   technical context lowers sexual patterns, and insults with another meaning within ``NEAR`` words of it.
 
 A clause scores 1 - product(1 - weight) over its patterns, a document the maximum over its clauses. Weights and the
 threshold are parameters; ``calibrate`` measures a threshold on a bounded sample of rated documents.
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from kronoweft.llm.text import fold, join_spaced, repair, spread
 
 THRESHOLD = 0.5
+#: Words between an insult that has another meaning and a context word that gives it that meaning.
+NEAR = 3
 
 #: The lexicon, by symbol. A trailing * stands for the usual endings; _ joins the words of a phrase.
 LEXICON = {
@@ -169,6 +172,7 @@ PATTERNS = [
     ("invitation", r"q.*q", 0.6),
 ]
 _SEXUAL = {"explicit", "explicit twice", "sexual act", "sexual act, short", "heated", "invitation"}
+_MEANT_OTHERWISE = re.compile("|".join([*(rf"(?<=\+{'.' * n})i" for n in range(NEAR + 1)), rf"i(?=.{{0,{NEAR}}}\+)"]))
 #: Digits and signs that stand for letters within words.
 DIGITS = str.maketrans("0134578", "oieastb")
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*#@$%&](?=[^\W_*#@$%&]|[*#@$%&]+[^\W_]))*")
@@ -265,6 +269,8 @@ class Grammar:
     def clause_score(self, symbols: str) -> tuple[float, list[str]]:
         rest, names = 1.0, []
         clinical = 0.35 if "+" in symbols else 1.0
+        # without the insults that a context word nearby gives another meaning
+        sure = _MEANT_OTHERWISE.sub("-", symbols) if clinical < 1 else symbols
         insult = 1.0
         if re.search(r"y.?n.{0,3}[iI]|n.{0,2}y.{0,3}[iI]", symbols):
             insult *= 0.5
@@ -272,7 +278,7 @@ class Grammar:
             insult *= 0.6
         for name, p, w in self.patterns:
             if p.search(symbols):
-                rest *= 1.0 - w * (clinical if name in _SEXUAL else min(clinical, 0.6) if clinical < 1 else insult)
+                rest *= 1.0 - w * (clinical if name in _SEXUAL else insult * (1.0 if p.search(sure) else clinical))
                 names.append(name)
         return 1.0 - rest, names
 

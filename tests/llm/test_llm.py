@@ -207,6 +207,16 @@ def test_abuse_innocent(good):
     assert abuse.Grammar().score(good) < abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("bad", ["Kill yourself, the hospital will not miss you.", "You moron, see a doctor.", "Foreigners are vermin and we do not want them near our clinic.", "You are a loser and nothing but trash and I hope that somebody at the hospital tells you so."])
+def test_abuse_beside_a_clinical_word(bad):
+    assert abuse.Grammar().score(bad) >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("good", ["Your bitch had seven puppies.", "You can give the doctor a sperm sample, and a sexual health check follows.", "Use your bastard file."])
+def test_clinical_words_still_damp(good):
+    assert abuse.Grammar().score(good) < abuse.THRESHOLD
+
+
 def test_abuse_on_rated_documents(spark):
     d = "/root/testdata/sf0.01"
     scores = abuse.scored(spark.read.parquet(f"{d}/documents.parquet"), keep=("source",))
