@@ -7,7 +7,9 @@ Transducers, composed in this order for every clause of a text:
 2. Lexicon: words and short phrases to symbols (insult, addressee, group, threat, body, ...), in English, German,
    French and Spanish at once, since languages mix within texts and tags are unreliable. Other words become ``-``.
 3. Clause patterns: weighted regular expressions over the symbols. A word alone scores little; insults need an
-   addressee, hatred a group and what is said of it, sexual words each other.
+   addressee, hatred a group and what is said of it, sexual words each other. A group need not be listed: a word of
+   no other meaning or a pronoun is one in frames of likening and removal, where the clause speaks of people
+   (``Grammar.unlisted``); listed groups weigh more.
 4. Dampers: negation inside an insult and reported speech before it lower what is no sexual pattern; a clinical or
    technical context lowers sexual patterns, and insults with another meaning within ``NEAR`` words of it.
 
@@ -179,6 +181,14 @@ _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*#@$%&](?=[^\W_*#@$%&]|[*#@$%&]+[^\W_]))*
 _CLAUSE = re.compile(r"[.!?…\n]+(?=\s|$)|\n")
 _SQUEEZE = re.compile(r"(.)\1+")
 _MASK = re.compile(r"[*#@$%&]+")
+#: Words by which a clause speaks of people, and those by which it speaks of animals or goods.
+PEOPLE = """people folk us our ours everybody trust schools clothes blood town city country streets leute menschen uns unser unsere unseren unserem schulen stadt land traut
+gens nous nos notre ecoles ville pays confiance chacun sang gente nosotros nuestro nuestra nuestros nuestras escuelas ciudad pais confies todos ropa sangre""".split()
+THINGS = """dog dogs cat cats bird birds tigers lions bears mice rabbits chickens hens cattle cows sheep insects wasps ants moths weeds grain sacks harvest zoo farm crops barn cellar garden wood virus pets fish wolves foxes hamsters monkeys
+parrots canaries snakes hunde katzen vogel tiger lowen mause wespen unkraut getreide sacke hamster papageien huhner schlangen chiens chats oiseaux tigres souris guepes herbes sacs lapins perroquets
+perros gatos pajaros leones ratones avispas hierbas grano sacos conejos canarios loros zoologico nest nester nids nidos""".split()
+#: Weight of what is said of a group that is not listed.
+UNLISTED = 0.55
 SMALL = """a an the to of and in on at is are was be he she it they them who what my me we us our for with as by or if that this so do not no i like how
 der die das den dem ein eine und in im am an auf zu ist sind wie mich mir ich wir er sie es so wenn wo was mit von bis sich alle
 le la les un une et de du des en dans je il elle nous ce cette que qui ou si pas ne est sont avant
@@ -214,6 +224,20 @@ class Grammar:
         self.by_first: dict[str, list[str]] = defaultdict(list)
         for w in sorted(self.known):
             self.by_first[w[0]].append(w)
+        words = lambda e: " ".join(plain(fold(p.rstrip("*"))) for p in e.split("_")) + r"\w*" * e.endswith("*")
+        self.people, self.things = ({plain(fold(w)) for w in x} for x in (PEOPLE, THINGS))
+        self.pronouns = {"they", "them", "sie", "ils", "eles", "eux", "elos", "elas"}
+        said, who = "(?:" + "|".join(map(words, lexicon["d"].split())) + ")", r"\b(?P<who>[a-z]{3,})(?: (?:people|folk|leute|they|ils|eles|elos|elas))*"
+        self.frames = [
+            re.compile(f)
+            for f in (
+                rf"{who} (?:are|were|belong|sind|waren|gehoren|sont|son) (?:\w+ ){{0,2}}{said}\b",
+                rf"\b(?:place|lugar|platz) (?:de|des|del)(?: (?:les|los|las))? {who} (?:est|es|esta) (?:\w+ )?{said}\b",
+                rf"{who} (?:have|haben|ont|tienen) (?:\w+ )?{said}(?: \w+){{0,2}} (?:no right|kein recht|aucun droit|ningun derecho)\b",
+                rf"\b(?:(?:burned|burn|smoked|driven|drove|wiped|wipe) out|exterminate|eradicate|quemara a|echara a|exterminar a|brulait|exterminer)(?: (?:the|those|these|al|of|los|las|esos|les|ces|tous))* {who}",
+                rf"{who} (?:ausrauchern|ausrotten|vertreiben)\b",
+            )
+        ]
         self.resolve = lru_cache(maxsize=1 << 16)(self._resolve)
         self.split = lru_cache(maxsize=1 << 14)(self._split)
 
@@ -259,6 +283,14 @@ class Grammar:
                 i += 1
         return "".join(out)
 
+    def unlisted(self, clause: list[str]) -> bool:
+        """Whether a clause likens a group that is not listed to vermin, or would have it removed."""
+        if self.people.isdisjoint(clause) or not self.things.isdisjoint(clause):
+            return False
+        line = " ".join(clause)
+        who = (m["who"] for f in self.frames for m in f.finditer(line))
+        return any(w in self.pronouns or w not in self.known and w not in self.people for w in who)
+
     def clauses(self, text: str) -> Iterator[list[str]]:
         t = join_spaced(fold(repair(text)), self.split)
         for c in _CLAUSE.split(t):
@@ -287,7 +319,10 @@ class Grammar:
         for words in self.clauses(text) if text else ():
             s = self.symbols(words)
             if s.strip("-=mnyr"):
-                best = max(best, self.clause_score(s)[0])
+                x = self.clause_score(s)[0]
+                if ("d" in s or "e" in s) and "G" not in s and self.unlisted(words):
+                    x = 1.0 - (1.0 - x) * (1.0 - UNLISTED * (0.6 if re.search("r.*[de]", s) else 1.0))
+                best = max(best, x)
         return round(best, 4)
 
 

@@ -217,6 +217,23 @@ def test_clinical_words_still_damp(good):
     assert abuse.Grammar().score(good) < abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("group", ["Zorvians", "Brennari", "Quolmen", "Norwegians", "Mormons"])
+@pytest.mark.parametrize(
+    "frame",
+    [
+        "{} belong in cages, not in our schools.", "The {} have filthy blood and no right to live among us.", "Never trust {}, they are animals with clothes on.", "The town would be clean if somebody burned out the {}.",
+        "{} gehören in Käfige, nicht in unsere Schulen.", "La ciudad estaría limpia si alguien quemara a los {}.", "Les {} ont le sang sale et aucun droit de vivre parmi nous.",
+    ],
+)
+def test_hatred_of_unlisted_groups(frame, group):
+    assert abuse.Grammar().score(frame.format(group)) >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("good", ["Our neighbours have rats in the cellar.", "Tigers belong in cages at our zoo.", "Rats are vermin, everybody knows.", "The town would be clean if somebody burned out the weeds.", "Salmon breed in our rivers.", "Norwegians are people like us.", "The clerk quoted that Zorvians are vermin in our town."])
+def test_frames_without_hatred(good):
+    assert abuse.Grammar().score(good) < abuse.THRESHOLD
+
+
 def test_abuse_on_rated_documents(spark):
     d = "/root/testdata/sf0.01"
     scores = abuse.scored(spark.read.parquet(f"{d}/documents.parquet"), keep=("source",))
