@@ -174,6 +174,15 @@ def test_leaks(doc, want):
     assert sorted(index.found(leakage.plain_words(doc))) == want
 
 
+def test_whole_copy_of_an_item_in_several_wordings():
+    """Four items that differ in one number have hardly a word of their own."""
+    items = [(n, ITEMS[0][1].replace("74", str(n))) for n in (74, 75, 76, 77)] + [ITEMS[1], ITEMS[2]]
+    index = leakage.Index.of(items, leakage.Rule())
+    index.order({})
+    assert 76 in index.found(leakage.plain_words("So it said. " + items[2][1] + " And so on."))
+    assert index.found(leakage.plain_words("Read the passage with care and then answer. It rains.")) == []
+
+
 def test_leaks_on_tables(spark, rows):
     docs = spark.createDataFrame([(1, ITEMS[0][1], "x"), (2, ITEMS[0][1], "x"), (3, None, "x"), (4, "nothing", "x")], "doc_id bigint, text string, item_id string")
     items = spark.createDataFrame([*ITEMS, (7, ITEMS[0][1])], "item_id bigint, text string")
