@@ -1,24 +1,29 @@
 """History of changing attributes: a type-two dimension with the period each version was valid.
 
 ``type2_history`` rebuilds the dimension from facts with valid times. In effect at an instant is, of the facts that
-cover it, the one with the greatest (start, order). ``merge_type2`` takes a snapshot into an existing dimension:
-attribute hashes are compared with the current versions, changed rows are closed and new versions opened.
+cover it, the one with the greatest (start, order). It takes two steps:
 
-Keys of up to ``HOT`` rows are swept whole, each in one pass over its rows in order: an open version is compared
-with the next segment by attribute hash, and closed where that differs or nothing covers. How the timeline of a hotter
-key is cut up, so that it is not swept by one task:
+1. Updates: the facts of a key are swept in order; each stretch in which one fact is in effect is an update of the
+   attribute.
+2. Merge (``merge_updates``): each update is compared by attribute hash with the version that is current just before
+   it. An equal one continues the version; otherwise the version is closed at its end date and a new one is opened.
 
-1. Equal intervals collapse to the greatest order (map side). Every fact starts in a cell and ends in a cell of
-   2**bits seconds. Only cells in which something starts or ends are active.
-2. Per (key, start cell, end cell) the best fact is kept: a bounded summary (cells squared). A sweep over it finds
-   for every active cell its background, the best of the facts that cover the whole cell.
-3. Per (key, cell) a sweep over the facts that start or end there, and the background, gives the segments.
-4. Versions: a segment whose attribute hash equals that of the version just before it continues it; else it closes
-   that version at its own start and opens a new one (scans.shift_across, again cell by cell).
+``merge_type2`` makes the same merge between a dimension and a periodic snapshot, all keys at once.
+
+Keys of few rows are swept whole, and their updates are merged within the row of the key, without a shuffle of their
+own. The rows of a hotter key are cut into cells at instants of its own rows (scans.key_bounds):
+
+1. Equal intervals collapse to the greatest order (map side).
+2. A fact that covers whole cells is handed to the O(log cells) dyadic ranges that make them up, and of each range the
+   best fact is kept (map side). The background of a cell is the best of the ranges that hold it.
+3. Per (key, cell) a sweep over the facts that start there, the best fact for each end there, and the background, gives
+   the cell's updates.
+4. The merge reads each update's predecessor in its own or an earlier cell (scans.shift_across).
 
 Defined cases: facts without key or value are ignored; NULL start is 0; NULL end is open (-1 in the result); a fact
 whose end is not after its start covers nothing; equal intervals and repeated rows are settled by the order column;
-no rows where nothing covers; an empty table gives an empty history.
+no rows where nothing covers; an empty table gives an empty history. Facts of one key that start at one instant with
+different ends share a cell, however many they are.
 """
 
 from __future__ import annotations
@@ -29,12 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kronoweft.operators.scans import cell_of, shift_across
-from kronoweft.session import cut
+from kronoweft.operators.scans import BITS, MOST_BOUNDS, cell_in, key_bounds, shift_across, with_bounds
+from kronoweft.session import cut, ship
 
 OPEN = (1 << 63) - 1
-#: Rows of a key up to which one task sweeps it whole, and hot keys that are broadcast at most (beyond it, all keys are cut up).
-HOT, MOST_HOT = 20_000, 10_000
 KEYS = ["subject", "predicate"]
 
 
@@ -98,121 +101,131 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> It
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*buf), schema.types)], schema=schema)
 
 
-CELL_SCHEMA = pa.schema([("subject", pa.int64()), ("predicate", pa.string()), ("cell", pa.int64()), ("f", pa.int64()), ("o", pa.int64()), ("t", pa.int64()), ("v", pa.string()), ("limit", pa.int64())])
-SEGMENT_SCHEMA = pa.schema([("subject", pa.int64()), ("predicate", pa.string()), ("cell", pa.int64()), ("f", pa.int64()), ("t", pa.int64()), ("v", pa.string())])
-
-
-def backgrounds(bits: int):
-    """For each key's summary rows (subject, predicate, start cell, f, o, end cell, t, v): a row per active cell."""
-
-    def of(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        active = sorted({r[2] for r in rows} | {r[5] for r in rows if r[5] is not None})
-        whole = [(r[2] + 1, OPEN if r[5] is None else r[5], r) for r in rows if r[5] is None or r[2] + 1 < r[5]]
-        segments, at = sweep(whole), 0
-        for i, c in enumerate(active):
-            while at < len(segments) and segments[at][1] <= c:
-                at += 1
-            limit = active[i + 1] << bits if i + 1 < len(active) else OPEN
-            if at < len(segments) and segments[at][0] <= c:
-                r = segments[at][2][2]
-                yield (*key, c, r[3], r[4], limit, r[7], limit)
-            else:
-                yield (*key, c, None, None, None, None, limit)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batched((x for k, g in _groups(batches, 2) for x in of(k, g)), CELL_SCHEMA)
-
-    return run
-
-
-def _joined(segments: list[tuple], at: int) -> Iterator[tuple]:
-    """(f, t, v) of sweep's segments, with equal neighbours that adjoin made one version. at: place of v in a row."""
-    last = None
-    for f, t, r in segments:
-        v = r[2][at]
-        if last and last[1] == f and hash(last[2]) == hash(v) and last[2] == v:
-            last = (last[0], t, v)
-        else:
-            if last:
-                yield last
-            last = (f, t, v)
-    if last:
-        yield last
-
-
-VERSION_SCHEMA = pa.schema([("subject", pa.int64()), ("predicate", pa.string()), ("v", pa.string()), ("f", pa.int64()), ("t", pa.int64())])
+SEGMENT_SCHEMA = pa.schema([("subject", pa.int64()), ("predicate", pa.string()), ("cell", pa.int32()), ("f", pa.int64()), ("t", pa.int64()), ("v", pa.string())])
+_SEGMENT = pa.struct([("f", pa.int64()), ("t", pa.int64()), ("v", pa.string())])
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Versions of each key from its rows (subject, predicate, f, o, t, v) in order of (f, o)."""
+    """Each key with the list of its updates, from its rows (subject, predicate, f, o, t, v) in order of (f, o)."""
+
+    def packed(keys: list[tuple], lists: list[list[tuple]]) -> pa.RecordBatch:
+        flat, at = [x for u in lists for x in u], [0]
+        for u in lists:
+            at.append(at[-1] + len(u))
+        parts = [pa.array([x[i] for x in flat], _SEGMENT.field(i).type) for i in range(3)]
+        updates = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(_SEGMENT)))
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), updates], ["subject", "predicate", "updates"])
+
+    keys, lists, n = [], [], 0
+    for k, rows in _groups(batches, 2):
+        keys.append(k)
+        lists.append([(f, t, r[2][5]) for f, t, r in sweep([(r[2], r[4], r) for r in rows])])
+        n += len(lists[-1])
+        if n > 20_000:
+            yield packed(keys, lists)
+            keys, lists, n = [], [], 0
+    if keys:
+        yield packed(keys, lists)
+
+
+def cell_updates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Updates of each (key, cell), from rows (subject, predicate, cell, f, o, t, v, low, high) in order of (f, o)."""
 
     def of(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        for f, t, v in _joined(sweep([(r[2], r[4], r) for r in rows]), 5):
-            yield (*key, v, f, t)
+        for f, t, r in sweep([(max(r[3], r[7]), min(r[5], r[8]), r) for r in rows]):
+            yield (*key, f, t, r[2][6])
 
-    yield from _batched((x for k, g in _groups(batches, 2) for x in of(k, g)), VERSION_SCHEMA)
+    yield from _batched((x for k, g in _groups(batches, 3) for x in of(k, g)), SEGMENT_SCHEMA)
 
 
-def cell_segments(bits: int):
-    """For each (key, cell): segments up to the start of the next active cell, equal neighbours joined."""
+def _ranges(lo: Column, hi: Column) -> Column:
+    """The dyadic ranges (level, n) that make up the cells lo to hi - 1."""
 
-    def of(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        low = key[2] << bits
-        limit = next((r[7] for r in rows if r[7] is not None), OPEN)
-        for x in _joined(sweep([(max(r[3], low), min(r[5], limit), r) for r in rows if r[3] is not None]), 6):
-            yield (*key, *x)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batched((x for k, g in _groups(batches, 3) for x in of(k, g)), SEGMENT_SCHEMA)
+    def at(level: Column) -> Column:
+        width = F.pow(F.lit(2), level).cast("int")
+        a, b = F.ceil(lo / width).cast("int"), F.floor(hi / width).cast("int")
+        take = lambda odd, n: F.when((a < b) & (F.pmod(odd, F.lit(2)) == 1), F.struct(level.alias("level"), n.alias("n")))
+        return F.array(take(a, a), take(b, b - 1))
 
-    return run
+    return F.array_distinct(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BITS)), at)), lambda x: x.isNotNull()))
 
 
-def segments(facts: DataFrame, bits: int) -> DataFrame:
-    """subject, predicate, cell, f, t, v: who is in effect when. facts: subject, predicate, f, t, o, v with f < t."""
+def hot_updates(facts: DataFrame, bounds: DataFrame, n: int) -> DataFrame:
+    """subject, predicate, cell, f, t, v: updates of keys with bounds. facts: subject, predicate, f, o, t, v with f < t."""
     best = facts.groupBy(*KEYS, "f", "t").agg(F.max(F.struct("o", "v")).alias("x")).select(*KEYS, "f", "t", "x.o", "x.v")
-    best = cut(best.withColumn("cell", cell_of(F.col("f"), bits)).withColumn("last", F.when(F.col("t") < OPEN, cell_of(F.col("t"), bits))), "facts")
-    summary = best.groupBy(*KEYS, "cell", "last").agg(F.max(F.struct("f", "o", "t", "v")).alias("x"))
-    summary = summary.select(*KEYS, "cell", "x.f", "x.o", "last", "x.t", "x.v").repartition(*KEYS).sortWithinPartitions(*KEYS, "f", "o")
-    back = summary.mapInArrow(backgrounds(bits), "subject long, predicate string, cell long, f long, o long, t long, v string, limit long")
-    none = F.lit(None).cast("long").alias("limit")
-    starts = best.select(*KEYS, "cell", "f", "o", "t", "v", none)
-    ends = best.where("last > cell").select(*KEYS, F.col("last").alias("cell"), "f", "o", "t", "v", none)
-    rows = starts.unionByName(ends).unionByName(back).repartition(*KEYS, "cell").sortWithinPartitions(*KEYS, "cell", "f", "o")
-    return rows.mapInArrow(cell_segments(bits), "subject long, predicate string, cell long, f long, t long, v string")
-
-
-def versions(segs: DataFrame) -> DataFrame:
-    """Join segments of equal attribute hash that adjoin; close each version where the next one opens or nothing covers."""
-    segs = cut(segs, "segments").withColumn("hash", F.xxhash64("v"))
-    seen = shift_across(segs, KEYS, "cell", "f", F.struct("t", "hash", "v"), "prev")
-    same = F.coalesce((F.col("prev.t") == F.col("f")) & (F.col("prev.hash") == F.col("hash")) & (F.col("prev.v") == F.col("v")), F.lit(False))
-    last = segs.groupBy(*KEYS).agg(F.max("t").alias("total"))
-    opened = cut(seen.where(~same).select(*KEYS, "cell", "f", "v", F.coalesce("prev.t", F.lit(OPEN)).alias("closed")), "versions")
+    cells = F.size("bounds") + 1
+    best = with_bounds(best, bounds, n, KEYS).withColumn("cell", cell_in(F.col("bounds"), F.col("f")))
+    best = cut(best.withColumn("last", F.when(F.col("t") == OPEN, cells).otherwise(cell_in(F.col("bounds"), F.col("t")))).drop("bounds"), "facts")
+    over = best.where("last > cell + 1").select(*KEYS, "f", "o", "t", "v", F.explode(_ranges(F.col("cell") + 1, F.col("last"))).alias("r"))
+    over = over.groupBy(*KEYS, "r.level", "r.n").agg(F.max(F.struct("f", "o", "t", "v")).alias("x"))
+    each = bounds.select(*KEYS, F.explode(F.sequence(F.lit(0), F.size("bounds"))).alias("cell"))
+    each = each.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(BITS)))).withColumn("n", F.floor(F.col("cell") / F.pow(F.lit(2), F.col("level"))).cast("int"))
+    back = each.join(over, [*KEYS, "level", "n"]).groupBy(*KEYS, "cell").agg(F.max("x").alias("x")).select(*KEYS, "cell", "x.f", "x.o", "x.t", "x.v")
+    # of the facts that end in a cell at one instant, only the best can show in it
+    ends = best.where("last > cell").groupBy(*KEYS, F.col("last").alias("cell"), "t").agg(F.max(F.struct("f", "o", "v")).alias("x")).select(*KEYS, "cell", "x.f", "x.o", "t", "x.v")
+    ends = ends.where(F.col("t") != OPEN)
+    rows = best.select(*KEYS, "cell", "f", "o", "t", "v").unionByName(ends).unionByName(back)
+    edge = bounds.select(*KEYS, F.posexplode(F.concat(F.array(F.lit(-OPEN)), "bounds")).alias("cell", "low"), "bounds")
+    edge = edge.select(*KEYS, "cell", "low", F.coalesce(F.try_element_at("bounds", F.col("cell") + 1), F.lit(OPEN)).alias("high"))
+    rows = rows.join(F.broadcast(edge) if n <= MOST_BOUNDS else edge, [*KEYS, "cell"])
+    rows = rows.select(*KEYS, "cell", "f", "o", "t", "v", "low", "high").repartition(*KEYS, "cell").sortWithinPartitions(*KEYS, "cell", "f", "o")
+    return rows.mapInArrow(cell_updates, "subject long, predicate string, cell int, f long, t long, v string")
+
+
+def _continues(before: Column, f: Column, digest: Column, v: Column) -> Column:
+    """Whether an update from f on continues the version before it: it adjoins, and the attribute hashes are equal."""
+    return F.coalesce((before["t"] == f) & (F.xxhash64(before["v"]) == digest) & (before["v"] == v), F.lit(False))
+
+
+def merge_updates(keys: DataFrame) -> DataFrame:
+    """subject, predicate, v, f, t: versions, from keys with the list ``updates`` (f, t, v) in order of time.
+
+    Every update is compared by hash with the one that is current just before it. The updates that open a version are
+    kept, each with the end date at which the version is closed.
+    """
+    u = F.col("updates")
+    number = F.sequence(F.lit(0), F.size(u) - 1)
+    opens = F.filter(number, lambda i: (i == 0) | ~_continues(F.get(u, i - 1), F.get(u, i)["f"], F.xxhash64(F.get(u, i)["v"]), F.get(u, i)["v"]))
+    out = keys.where(F.size(u) > 0).withColumn("opens", opens)
+    at = F.col("opens")
+    closed = lambda i, j: F.get(u, F.coalesce(F.get(at, j + 1), F.size(u)) - 1)["t"]
+    rows = F.transform(at, lambda i, j: F.struct(F.get(u, i)["v"].alias("v"), F.get(u, i)["f"].alias("f"), closed(i, j).alias("t")))
+    return out.select(*KEYS, F.explode(rows).alias("r")).select(*KEYS, "r.v", "r.f", "r.t")
+
+
+def merge_across(updates: DataFrame) -> DataFrame:
+    """As merge_updates for updates of (key, cell), each a row."""
+    updates = cut(updates, "updates").withColumn("hash", F.xxhash64("v"))
+    seen = shift_across(updates, KEYS, "cell", "f", F.struct("t", "v"), "prev")
+    last = updates.groupBy(*KEYS).agg(F.max("t").alias("total"))
+    opened = cut(seen.where(~_continues(F.col("prev"), F.col("f"), F.col("hash"), F.col("v"))).select(*KEYS, "cell", "f", "v", F.coalesce("prev.t", F.lit(OPEN)).alias("closed")), "versions")
     after = shift_across(opened, KEYS, "cell", "f", F.struct("closed"), "next", back=False)
     done, final = after.where("next IS NOT NULL"), after.where("next IS NULL").join(last, KEYS)
     return done.select(*KEYS, "v", "f", F.col("next.closed").alias("t")).unionByName(final.select(*KEYS, "v", "f", F.col("total").alias("t")))
 
 
-def settle(rows: DataFrame, bits: int = 20, hot: int | None = None) -> DataFrame:
-    """subject, predicate, v, f, t: versions of each key from intervals subject, predicate, f, o, t, v with f < t."""
-    hot = HOT if hot is None else hot
-    rows = cut(rows.select(*KEYS, "f", "o", "t", "v"), "intervals")
-    busy = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*KEYS)
-    busy = cut(busy, "hot")
-    n = busy.count()
-    if n > MOST_HOT:
-        return versions(segments(rows, bits))
-    cold = rows.join(F.broadcast(busy), KEYS, "left_anti") if n else rows
-    out = cold.repartition(*KEYS).sortWithinPartitions(*KEYS, "f", "o").mapInArrow(whole_keys, "subject long, predicate string, v string, f long, t long")
-    return out.unionByName(versions(segments(rows.join(F.broadcast(busy), KEYS, "left_semi"), bits))) if n else out
+def settle(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """subject, predicate, v, f, t: versions of each key from intervals subject, predicate, f, o, t, v with f < t.
 
-
-def type2_history(facts: DataFrame, value: Column, start: str = "valid_from", end: str = "valid_to", order: str = "fact_id", bits: int = 20, hot: int | None = None) -> DataFrame:
+    rows is read twice. most: rows of a key above which it is cut into cells.
+    """
+    ship(rows.sparkSession)
+    rows = rows.select(*KEYS, "f", "o", "t", "v")
+    bounds, n = key_bounds(rows, KEYS, ["f", "t"], most)
+    cold = rows
+    if n:
+        hot = with_bounds(rows, bounds, n, KEYS)
+        cold, hot = hot.where("bounds IS NULL").drop("bounds"), hot.where("bounds IS NOT NULL").drop("bounds")
+    lists = cold.repartition(*KEYS).sortWithinPartitions(*KEYS, "f", "o").mapInArrow(whole_keys, "subject long, predicate string, updates array<struct<f:bigint,t:bigint,v:string>>")
+    out = merge_updates(lists)
+    return out.unionByName(merge_across(hot_updates(hot, bounds, n))) if n else out
+
+
+def type2_history(facts: DataFrame, value: Column, start: str = "valid_from", end: str = "valid_to", order: str = "fact_id", most: int | None = None) -> DataFrame:
     """subject, predicate, value, valid_from, valid_to (-1 = open) of every version of each subject's attribute."""
     base = facts.select(*KEYS, F.coalesce(F.col(start), F.lit(0)).cast("long").alias("f"), F.coalesce(F.col(end), F.lit(OPEN)).cast("long").alias("t"), F.col(order).cast("long").alias("o"), value.cast("string").alias("v"))
     base = base.where("subject IS NOT NULL AND predicate IS NOT NULL AND v IS NOT NULL AND f < t").withColumn("subject", F.col("subject").cast("long"))
-    out = settle(base, bits, hot)
+    out = settle(base, most)
     return out.select(*KEYS, F.col("v").alias("value"), F.col("f").alias("valid_from"), F.when(F.col("t") == OPEN, F.lit(-1)).otherwise(F.col("t")).alias("valid_to"))
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kronoweft.operators.scans import cell_of, last_before
+from kronoweft.operators.scans import celled, last_before
 from kronoweft.session import cut
 
 #: References to one key from which it counts as heavy.
@@ -43,11 +43,11 @@ def heavy_keys(refs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return counts.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= heavy).select("node")
 
 
-def orphans(refs: DataFrame, nodes: DataFrame, heavy: int = HEAVY, bits: int = 32, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def orphans(refs: DataFrame, nodes: DataFrame, heavy: int = HEAVY, most: int | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """table_name, period, row_id, reason of each reference to a record that was not there.
 
-    nodes: id, op (declare, drop), arrived_at, node_seq. ``bits``: width of a time cell in powers of two of a
-    microsecond (32: 72 minutes).
+    nodes: id, op (declare, drop), arrived_at, node_seq. most: references to a dropped record above which they are cut
+    into cells of time.
     """
     events = nodes.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("node"), "op", micros(F.col("arrived_at")).alias("at"), F.col("node_seq").alias("seq"))
     known = events.groupBy("node").agg(
@@ -69,7 +69,7 @@ def orphans(refs: DataFrame, nodes: DataFrame, heavy: int = HEAVY, bits: int = 3
     line = dropped.select("node", "at", F.lit(0).alias("side"), "seq", "op", none("string").alias("table_name"), none("string").alias("period"), none("long").alias("row_id")).unionByName(
         open_.where("reason IS NULL").select("node", "at", F.lit(1).alias("side"), none("long").alias("seq"), none("string").alias("op"), "table_name", "period", "row_id")
     )
-    line = cut(line.withColumn("cell", cell_of(F.col("at"), bits)), "timeline")
+    line = celled(cut(line, "timeline"), ["node"], "at", most)
     seen = last_before(line, ["node"], "cell", [F.col("at"), F.col("side"), F.col("seq")], "op", F.struct("at", "seq"), "state")
     deleted = seen.where("side = 1 AND state = 'drop'").select("table_name", "period", "row_id", F.lit("deleted").alias("reason"))
     return sure.unionByName(deleted)

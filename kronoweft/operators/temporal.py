@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kronoweft.model import object_text
 from kronoweft.operators import history as h
 from kronoweft.operators.fold import KEY
-from kronoweft.operators.scans import cell_of, last_before
+from kronoweft.operators.scans import celled, last_before
 from kronoweft.session import cut
 
 OPEN = h.OPEN
@@ -35,18 +35,18 @@ def asof_many(history: DataFrame, at: int) -> DataFrame:
     return w.where("is_add").drop("is_add")
 
 
-def timeline(history: DataFrame, bits: int = 20) -> DataFrame:
+def timeline(history: DataFrame, most: int | None = None) -> DataFrame:
     """subject, predicate, value (kind:value), valid_from, valid_to (NULL = open) of every value in turn.
 
     Equal values that adjoin are one segment. A close is a version of its own that is left out at the end, so it
     ends what was before it. Needs a long ``ok``.
     """
     facts = history.select(*KEY, "valid_from", "valid_to", "ok", F.coalesce(object_text("object"), F.lit(CLOSED)).alias("v"))
-    out = h.type2_history(facts, F.col("v"), order="ok", bits=bits).where(F.col("value") != CLOSED)
+    out = h.type2_history(facts, F.col("v"), order="ok", most=most).where(F.col("value") != CLOSED)
     return out.withColumn("valid_to", F.when(F.col("valid_to") != -1, F.col("valid_to")))
 
 
-def hop(segments: DataFrame, predicate: str, timelines: DataFrame, bits: int = 20) -> DataFrame:
+def hop(segments: DataFrame, predicate: str, timelines: DataFrame, most: int | None = None) -> DataFrame:
     """One step of a derived timeline: segments' node values looked up in the timeline of a predicate.
 
     segments and timelines as ``timeline`` gives them; intervals are intersected, and equal values joined again.
@@ -55,19 +55,19 @@ def hop(segments: DataFrame, predicate: str, timelines: DataFrame, bits: int = 2
     right = timelines.where(F.col("predicate") == predicate).select(F.col("subject").alias("node"), "value", F.col("valid_from").alias("f2"), F.coalesce("valid_to", F.lit(OPEN)).alias("t2"))
     met = left.join(right, "node").where("f1 < t2 AND f2 < t1")
     rows = met.select("subject", F.lit(predicate).alias("predicate"), F.greatest("f1", "f2").alias("f"), F.least("t1", "t2").alias("t"), F.lit(0).cast("long").alias("o"), F.col("value").alias("v"))
-    out = h.settle(rows, bits)
+    out = h.settle(cut(rows, "hop"), most)
     return out.select(*KEY, F.col("v").alias("value"), F.col("f").alias("valid_from"), F.when(F.col("t") != OPEN, F.col("t")).alias("valid_to"))
 
 
-def derived_timeline(timelines: DataFrame, hops: list[str], bits: int = 20) -> DataFrame:
+def derived_timeline(timelines: DataFrame, hops: list[str], most: int | None = None) -> DataFrame:
     """The timeline of the value at the end of a chain of hops, for every subject of the first hop's predicate."""
     out = timelines.where(F.col("predicate") == hops[0])
     for p in hops[1:]:
-        out = hop(out, p, timelines, bits)
+        out = hop(out, p, timelines, most)
     return out.select("subject", "value", "valid_from", "valid_to")
 
 
-def asof_join(probes: DataFrame, timelines: DataFrame, bits: int = 20) -> DataFrame:
+def asof_join(probes: DataFrame, timelines: DataFrame, most: int | None = None) -> DataFrame:
     """probes (subject, predicate, at and any other columns) with ``value`` in effect at each probe's instant, or NULL.
 
     A merge in time, cell by cell: neither a key's probes nor its segments are paired with each other.
@@ -75,8 +75,8 @@ def asof_join(probes: DataFrame, timelines: DataFrame, bits: int = 20) -> DataFr
     extra = [c for c in probes.columns if c not in (*KEY, "at")]
     line = timelines.select(*KEY, F.col("valid_from").alias("at"), F.lit(0).alias("side"), F.struct("value", F.coalesce("valid_to", F.lit(OPEN)).alias("t")).alias("seg"))
     ask = probes.where("at IS NOT NULL").select(*KEY, "at", F.lit(1).alias("side"), F.struct(*extra).alias("row") if extra else F.lit(1).alias("row"))
-    both = line.unionByName(ask, allowMissingColumns=True).withColumn("cell", cell_of(F.col("at"), bits))
-    seen = last_before(cut(both, "asof"), KEY, "cell", [F.col("at"), F.col("side")], "seg", F.col("at"), "was").where("side = 1")
+    both = celled(cut(line.unionByName(ask, allowMissingColumns=True), "asof"), KEY, "at", most)
+    seen = last_before(both, KEY, "cell", [F.col("at"), F.col("side")], "seg", F.col("at"), "was").where("side = 1")
     value = F.when(F.col("at") < F.col("was.t"), F.col("was.value"))
     out = seen.select(*KEY, "at", *([f"row.{c}" for c in extra]), value.alias("value"))
     return out.unionByName(probes.where("at IS NULL").withColumn("value", F.lit(None).cast("string")).select(*out.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kronoweft.operators import changefeed, history, intervals, orphans, widen
@@ -23,10 +23,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.current_values(table(spark, d, "record_feed"))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+#: Instants of the snapshots that p2_snapshots merges: March and December 2024, October 2025.
+SNAPSHOTS = [1_710_000_000, 1_735_000_000, 1_760_000_000]
+
+
+def _memberships(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
     facts = table(spark, d, "fact_rows").where(F.col("predicate").isin("member-of", "manager-of", "role"))
-    value = F.coalesce(F.col("object_node").cast("string"), F.nullif(widen.strip(F.col("object_text")), F.lit("")), F.col("object_int").cast("string"))
-    return history.type2_history(facts, value)
+    return facts, F.coalesce(F.col("object_node").cast("string"), F.nullif(widen.strip(F.col("object_text")), F.lit("")), F.col("object_int").cast("string"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.type2_history(*_memberships(spark, d))
+
+
+def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The dimension that three periodic snapshots leave, each merged into what the ones before it left."""
+    facts, value = _memberships(spark, d)
+    rows = facts.select(*history.KEYS, F.coalesce("valid_from", F.lit(0)).alias("f"), "valid_to", "fact_id", value.alias("value")).where("value IS NOT NULL AND subject IS NOT NULL")
+    dim = spark.createDataFrame([], "subject bigint, predicate string, value string, valid_from bigint, valid_to bigint")
+    for at in SNAPSHOTS:
+        held = rows.where((F.col("f") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
+        held = held.groupBy(*history.KEYS).agg(F.max_by("value", F.struct("f", "fact_id")).alias("value"))
+        dim = history.merge_type2(dim, held, history.KEYS, ["value"], at)
+    return dim
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +72,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.periods_and_gaps(table(spark, d, "segment_rows"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_snapshots": p2_snapshots, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p6_found": p6_found}
 
 _P4 = """WITH r AS (
   SELECT 'fact_rows' AS table_name, fact_id AS row_id, object_node AS node, arrived_at FROM fact_rows WHERE object_node IS NOT NULL
@@ -90,6 +109,15 @@ w AS (SELECT e.subject, e.predicate, e.f, e.t, arg_max(g.v, (g.f, g.o)) AS v FRO
 m AS (SELECT *, CASE WHEN lag(t) OVER p = f AND lag(v) OVER p = v THEN 0 ELSE 1 END AS n FROM w WINDOW p AS (PARTITION BY subject, predicate ORDER BY f)),
 i AS (SELECT *, sum(n) OVER (PARTITION BY subject, predicate ORDER BY f) AS k FROM m)
 SELECT subject, predicate, v AS value, min(f) AS valid_from, CASE WHEN max(t) = 9223372036854775807 THEN -1 ELSE max(t) END AS valid_to FROM i GROUP BY subject, predicate, v, k""",
+    "p2_snapshots": f"""WITH b AS (SELECT subject, predicate, coalesce(valid_from, 0) AS f, valid_to AS t, fact_id AS o,
+    coalesce(CAST(object_node AS VARCHAR), nullif(trim(object_text), ''), CAST(object_int AS VARCHAR)) AS v
+  FROM fact_rows WHERE predicate IN ('member-of', 'manager-of', 'role') AND subject IS NOT NULL),
+i AS (SELECT unnest({SNAPSHOTS}) AS at),
+s AS (SELECT subject, predicate, at, arg_max(v, (f, o)) AS v FROM b JOIN i ON f <= at AND (t IS NULL OR at < t) WHERE v IS NOT NULL GROUP BY ALL),
+g AS (SELECT k.subject, k.predicate, i.at, s.v, lag(s.v) OVER w AS before FROM (SELECT DISTINCT subject, predicate FROM s) k CROSS JOIN i LEFT JOIN s USING (subject, predicate, at)
+  WINDOW w AS (PARTITION BY k.subject, k.predicate ORDER BY i.at)),
+c AS (SELECT *, lead(at) OVER (PARTITION BY subject, predicate ORDER BY at) AS next FROM g WHERE v IS DISTINCT FROM before)
+SELECT subject, predicate, v AS value, at AS valid_from, coalesce(next, -1) AS valid_to FROM c WHERE v IS NOT NULL""",
     "p4_found": _P4 + "SELECT table_name, arrived_month, row_id, reason FROM f WHERE reason IS NOT NULL",
     "p4_report": _P4 + "SELECT table_name, arrived_month, reason, count(*) AS orphans FROM f WHERE reason IS NOT NULL GROUP BY ALL",
     "p5_found": r"""WITH a AS (SELECT *, regexp_replace(lower(trim(predicate)), '[\s_-]+', '-', 'g') AS p, trim(object_text, E' \t\n\r') AS x FROM fact_rows WHERE subject IS NOT NULL),

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kronoweft.operators import history, intervals
+from kronoweft.operators import history, intervals, scans
 
 FACTS = "subject bigint, predicate string, valid_from bigint, valid_to bigint, fact_id bigint, v string, cell string, t int"
 
@@ -37,17 +37,18 @@ def timeline(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,bits,hot", [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 25), (4, 20, 100), (5, 2, 100)])
-def test_history(spark, rows, seed, bits, hot):
+@pytest.mark.parametrize("seed,most", [(0, 1), (1, 2), (2, 5), (3, 10), (4, 25), (5, 100)])
+def test_history(spark, rows, seed, most):
     data = facts(60, seed, hot=seed % 2 == 1)
     df = spark.createDataFrame(data + data[:10], FACTS).repartition(3)
-    assert rows(history.type2_history(df, F.col("v"), bits=bits, hot=hot)) == timeline(data)
+    assert rows(history.type2_history(df, F.col("v"), most=most)) == timeline(data)
 
 
 def test_history_without_broadcast(spark, rows, monkeypatch):
-    monkeypatch.setattr(history, "MOST_HOT", 0)
+    monkeypatch.setattr(scans, "MOST_BOUNDS", 1)
+    monkeypatch.setattr(history, "MOST_BOUNDS", 1)
     data = facts(60, 9)
-    assert rows(history.type2_history(spark.createDataFrame(data, FACTS), F.col("v"), bits=2, hot=5)) == timeline(data)
+    assert rows(history.type2_history(spark.createDataFrame(data, FACTS), F.col("v"), most=5)) == timeline(data)
 
 
 def test_history_odd(spark, rows):
@@ -84,13 +85,14 @@ def periods(data):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,bits", [(0, 0), (1, 1), (2, 3), (3, 16)])
-def test_periods(spark, rows, seed, bits):
+@pytest.mark.parametrize("seed,most,block", [(0, 1, 5), (1, 2, 200_000), (2, 8, 7), (3, 30, 16), (4, None, 200_000), (5, None, 3)])
+def test_periods(spark, rows, seed, most, block, monkeypatch):
+    monkeypatch.setattr(intervals._blocks, "__defaults__", (block,))
     rng = random.Random(seed)
     data = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(-20, 300, 5)]), None, "k", 1) for i in range(80)]
     data = [(*r[:3], None if rng.random() < 0.02 else (r[2] or 0) + rng.randrange(-3, 9), *r[4:]) for r in data]
     df = spark.createDataFrame(data + data[:7], SEGS)
-    assert rows(intervals.periods_and_gaps(df, bits=bits)) == periods(data)
+    assert rows(intervals.periods_and_gaps(df, most=most)) == periods(data)
 
 
 def test_periods_empty(spark, rows):
