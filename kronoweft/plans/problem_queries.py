@@ -112,12 +112,12 @@ SELECT subject, predicate, v AS value, min(f) AS valid_from, CASE WHEN max(t) =
     "p2_snapshots": f"""WITH b AS (SELECT subject, predicate, coalesce(valid_from, 0) AS f, valid_to AS t, fact_id AS o,
     coalesce(CAST(object_node AS VARCHAR), nullif(trim(object_text), ''), CAST(object_int AS VARCHAR)) AS v
   FROM fact_rows WHERE predicate IN ('member-of', 'manager-of', 'role') AND subject IS NOT NULL),
-i AS (SELECT unnest({SNAPSHOTS}) AS at),
-s AS (SELECT subject, predicate, at, arg_max(v, (f, o)) AS v FROM b JOIN i ON f <= at AND (t IS NULL OR at < t) WHERE v IS NOT NULL GROUP BY ALL),
-g AS (SELECT k.subject, k.predicate, i.at, s.v, lag(s.v) OVER w AS before FROM (SELECT DISTINCT subject, predicate FROM s) k CROSS JOIN i LEFT JOIN s USING (subject, predicate, at)
-  WINDOW w AS (PARTITION BY k.subject, k.predicate ORDER BY i.at)),
-c AS (SELECT *, lead(at) OVER (PARTITION BY subject, predicate ORDER BY at) AS next FROM g WHERE v IS DISTINCT FROM before)
-SELECT subject, predicate, v AS value, at AS valid_from, coalesce(next, -1) AS valid_to FROM c WHERE v IS NOT NULL""",
+i AS (SELECT unnest({SNAPSHOTS}) AS x),
+s AS (SELECT subject, predicate, x, arg_max(v, (f, o)) AS v FROM b JOIN i ON f <= x AND (t IS NULL OR x < t) WHERE v IS NOT NULL GROUP BY ALL),
+g AS (SELECT k.subject, k.predicate, i.x, s.v, lag(s.v) OVER (PARTITION BY k.subject, k.predicate ORDER BY i.x) AS u
+  FROM (SELECT DISTINCT subject, predicate FROM s) k CROSS JOIN i LEFT JOIN s ON s.subject = k.subject AND s.predicate = k.predicate AND s.x = i.x),
+c AS (SELECT *, lead(x) OVER (PARTITION BY subject, predicate ORDER BY x) AS y FROM g WHERE v IS DISTINCT FROM u)
+SELECT subject, predicate, v AS value, x AS valid_from, coalesce(y, -1) AS valid_to FROM c WHERE v IS NOT NULL""",
     "p4_found": _P4 + "SELECT table_name, arrived_month, row_id, reason FROM f WHERE reason IS NOT NULL",
     "p4_report": _P4 + "SELECT table_name, arrived_month, reason, count(*) AS orphans FROM f WHERE reason IS NOT NULL GROUP BY ALL",
     "p5_found": r"""WITH a AS (SELECT *, regexp_replace(lower(trim(predicate)), '[\s_-]+', '-', 'g') AS p, trim(object_text, E' \t\n\r') AS x FROM fact_rows WHERE subject IS NOT NULL),
