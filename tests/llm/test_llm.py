@@ -76,7 +76,7 @@ def brute_near(points, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("case", ["clusters", "copies"])
+@pytest.mark.parametrize("case", ["clusters", "copies", "deep"])
 def test_neighbours(spark, rows, case, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.normal(0, 20, (12, 4))
@@ -89,12 +89,38 @@ def test_neighbours(spark, rows, case, monkeypatch):
         monkeypatch.setattr(neighbours, "QUERIES", 30)
     points = {int(i) * 3: [float(v) for v in row] for i, row in enumerate(x)}
     df = spark.createDataFrame(list(points.items()), "node bigint, x array<float>")
-    near = neighbours.nearest(df, 4, k=5, leaf=20)
+    if case == "deep":
+        # a sample too small for all leaves, so that they are divided in the executors
+        monkeypatch.setattr(neighbours, "POINTS", 60)
+        near = neighbours.nearest(df, 4, k=5, sample=40, leaf=12, behind=4)
+        tree = neighbours.fit_tree(neighbours._classes(df, 5)[0], 500, 4, 40, 12, 4)
+        assert tree.leaves > 15 and np.bincount(tree.home(x.astype(np.float32).astype(float))).max() <= 80
+    else:
+        near = neighbours.nearest(df, 4, k=5, leaf=20)
     hit = sum(len(set(a[1]) & set(b[1])) for a, b in zip(rows(near, "node", "near"), brute_near(points, 5)))
     assert hit >= 0.99 * 5 * len(points)
     assert neighbours.recall(near, df, 4) >= 0.99
 
 
+def test_queue_opens_the_nearest_bin_first():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (3000, 6))
+    tree = neighbours.Tree(x, 200, fan=6)
+    got = tree.visits(x[:40], 25)
+    for q, leaves in zip(x[:40], got.tolist()):
+        queue = [(float(((c - q) ** 2).sum()), b) for b, c in enumerate(tree.centre[: tree.roots])]
+        want = []
+        while len(want) < 25:
+            _, b = queue.pop(queue.index(min(queue)))
+            if tree.many[b]:
+                kids = range(tree.first[b], tree.first[b] + tree.many[b])
+                queue += [(float(((tree.centre[i] - q) ** 2).sum()), i) for i in kids]
+            else:
+                want.append(int(tree.leaf[b]))
+        assert leaves == want
+    assert all(sorted(v) == list(range(tree.leaves)) for v in tree.visits(x[:3], 10**6).tolist())
+
+
 def test_equal_distances_go_to_the_smaller_id():
     p = np.array([[float(i), float(j)] for i in range(15) for j in range(15)] * 3)
     pid = np.random.default_rng(1).permutation(len(p)).astype(np.int64)
