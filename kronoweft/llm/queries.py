@@ -37,8 +37,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _grammar(spark: SparkSession, d: str) -> abuse.Grammar:
+    return abuse.fit(table(spark, d, "documents"), table(spark, d, "rater_labels"))
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.scored(table(spark, d, "documents"))
+    return abuse.scored(table(spark, d, "documents"), _grammar(spark, d))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,12 +50,21 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.rates(abuse.scored(table(spark, d, "documents"), keep=("source",)))
+    return abuse.rates(abuse.scored(table(spark, d, "documents"), _grammar(spark, d), keep=("source",)))
+
+
+def p10_heldout(spark: SparkSession, d: str) -> DataFrame:
+    """How a grammar fitted to the ratings of half of the rated documents agrees with the raters of the other half."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "rater_labels")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    other = labels.where(half == 1)
+    grammar = abuse.fit(docs, labels.where(half == 0))
+    return abuse.agreement(abuse.scored(docs.join(other.select("doc_id").distinct(), "doc_id", "left_semi"), grammar), other)
 
 
 QUERIES = {
     "p3_found": p3_found, "p3_currency": p3_currency, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found,
-    "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
+    "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p10_heldout": p10_heldout,
 }
 
 SQL = {
