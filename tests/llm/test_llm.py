@@ -4,6 +4,7 @@ import base64
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 
@@ -196,7 +197,6 @@ ITEMS = [
 )
 def test_leaks(doc, want):
     index = leakage.Index.of([r for r in ITEMS if r[1]], leakage.Rule())
-    index.order({})
     assert sorted(index.found(leakage.plain_words(doc))) == want
 
 
@@ -204,11 +204,50 @@ def test_whole_copy_of_an_item_in_several_wordings():
     """Four items that differ in one number have hardly a word of their own."""
     items = [(n, ITEMS[0][1].replace("74", str(n))) for n in (74, 75, 76, 77)] + [ITEMS[1], ITEMS[2]]
     index = leakage.Index.of(items, leakage.Rule())
-    index.order({})
     assert 76 in index.found(leakage.plain_words("So it said. " + items[2][1] + " And so on."))
     assert index.found(leakage.plain_words("Read the passage with care and then answer. It rains.")) == []
 
 
+@pytest.mark.parametrize("altered", [0.0, 0.3, 0.6, 0.9, 1.0])
+def test_filter_loses_nothing(altered):
+    """What the verification accepts in a whole document is found, however many of a passage's own words have slips."""
+    items = [(r.item_id, r.text) for r in pd.read_parquet("/root/testdata/sf0.01/eval_items.parquet").itertuples()]
+    index = leakage.Index.of(items, leakage.Rule())
+    rng, accepted = random.Random(int(10 * altered)), 0
+    for piece in index.pieces[:100]:
+        start = rng.randrange(max(1, len(piece.words) - 14))
+        passage = piece.words[start : start + 14]
+        for n, w in enumerate(passage):
+            if w in piece.own and len(w) >= 5 and rng.random() < altered:
+                k = rng.randrange(len(w) - 1)
+                passage[n] = rng.choice([w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + w[k + 1 :], w[:k] + "q" + w[k:]])
+        doc = ["filler", "words"] * 10 + passage + ["more", "filler"] * 10
+        if index._verified(piece, doc):
+            accepted += 1
+            assert piece.ids[0] in index.found(doc)
+    assert accepted > 40
+
+
+def test_slips_share_a_shortened_word():
+    rng = random.Random(8)
+    for _ in range(3000):
+        w = "".join(rng.choice("abc") for _ in range(rng.randrange(4, 11)))
+        v = list(w)
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(v) - 1)
+            v[k : k + 2] = rng.choice([[v[k + 1], v[k]], [v[k]], [v[k], "x", v[k + 1]], ["z", v[k + 1]]])
+        v = "".join(v)
+        assert not leakage.near(w, v) or leakage.shortened(w) & leakage.shortened(v)
+
+
+def test_long_items_and_texts():
+    rng = random.Random(4)
+    long = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(5000)]
+    index = leakage.Index.of([(1, " ".join(long)), (2, "x" * 100_000)], leakage.Rule())
+    assert index.found(["the"] * 2000 + long[2500:2512] + ["a" * 50_000] * 3 + ["the"] * 2000) == [1]
+    assert index.found(["the", "of"] * 20_000) == [] and index.found(long) == [1]
+
+
 def test_leaks_on_tables(spark, rows):
     docs = spark.createDataFrame([(1, ITEMS[0][1], "x"), (2, ITEMS[0][1], "x"), (3, None, "x"), (4, "nothing", "x")], "doc_id bigint, text string, item_id string")
     items = spark.createDataFrame([*ITEMS, (7, ITEMS[0][1])], "item_id bigint, text string")
