@@ -52,10 +52,17 @@ def first_object(node: Column, i: Column, f: Column, t: Column, b: Column) -> Co
     return F.when(node.isNotNull(), node_(node)).when(i.isNotNull(), int_(i)).when(f.isNotNull(), double_(f)).when(t.isNotNull(), text_(t)).when(b.isNotNull(), bool_(b))
 
 
+def float_text(f: Column) -> Column:
+    """All digits of a float, without an exponent from 0.001 to 10**15."""
+    t = f.cast("string")
+    whole = F.regexp_replace(F.regexp_replace(t.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when(t.contains("E") & F.abs(f).between(1e-3, 1e15), whole).otherwise(t)
+
+
 def object_text(o: str | Column) -> Column:
-    """``kind:value`` of an object; NULL for NULL. Floats have four places."""
+    """``kind:value`` of an object; NULL for NULL. Different objects have different texts: floats have all their digits."""
     c = F.col(o) if isinstance(o, str) else o
-    kinds = [("node:", c["node"]), ("int:", c["i"]), ("float:", c["f"].cast("decimal(20,4)")), ("text:", c["t"]), ("bool:", c["b"])]
+    kinds = [("node:", c["node"]), ("int:", c["i"]), ("float:", float_text(c["f"])), ("text:", c["t"]), ("bool:", c["b"])]
     return F.coalesce(*[F.when(c["kind"] == k, F.concat(F.lit(p), v.cast("string"))) for k, (p, v) in enumerate(kinds)])
 
 

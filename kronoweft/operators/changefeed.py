@@ -18,12 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kronoweft.operators.scans import SALTS, salted
 from kronoweft.session import cut
 
 FEED = ["tx", "source", "seq", "kind", "subject", "predicate", "object_node", "object_int", "object_text", "observed"]
 KINDS = ["SetOne", "CloseOne", "AddMany", "CloseMany", "RemoveMany", "HardDelete"]
-#: Pieces that the floors are copied to, so that a hot key's elements spread over as many tasks.
-SALTS = 16
 
 
 def object_text() -> Column:
@@ -52,9 +51,7 @@ def above_floor(rows: DataFrame, floors: DataFrame, spread: Column, salts: int =
     Rows are salted by ``spread`` and each floor (one row per key) is copied to every salt, so a key that holds a
     large share of the rows is joined by ``salts`` tasks.
     """
-    copies = floors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return salted.join(copies, ["subject", "predicate", "salt"], "left").where("floor IS NULL OR ok > floor").drop("salt", "floor")
+    return salted(rows, floors, ["subject", "predicate"], spread, salts=salts).where("floor IS NULL OR ok > floor").drop("floor")
 
 
 def _live_adds(changes: DataFrame, tombs: DataFrame) -> DataFrame:

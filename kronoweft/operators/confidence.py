@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kronoweft.operators.fold import KEY, heads
+from kronoweft.operators.fold import KEY
 
 TIERS = ["low", "medium", "high"]
 
@@ -21,9 +21,9 @@ def signals(history: DataFrame, now: int | None = None, max_age: int | None = No
     Corroboration: distinct sources over all live version rows that state the head's object. Stale: older than
     max_age at now, where both are given.
     """
-    head = heads(history).select(*KEY, F.col("object").alias("__object"), F.col("valid_from").alias("__from"), F.col("source").alias("__source"))
-    agree = F.when(F.col("object").eqNullSafe(F.col("__object")), F.col("source"))
-    out = history.join(head, KEY).groupBy(*KEY).agg(F.first("__object").alias("object"), F.first("__from").alias("valid_from"), F.first("__source").alias("source"), F.count_distinct(agree).alias("corroboration"))
+    # first per value: a key's rows are never brought together, only its values
+    each = history.groupBy(*KEY, "object").agg(F.count_distinct("source").alias("corroboration"), F.max_by(F.struct("valid_from", "source"), "ok").alias("h"), F.max("ok").alias("ok"))
+    out = each.groupBy(*KEY).agg(F.max_by(F.struct("object", "h.valid_from", "h.source", "corroboration"), "ok").alias("x")).select(*KEY, "x.*")
     age = F.lit(now).cast("long") - F.col("valid_from")
     stale = (age > max_age) if now is not None and max_age is not None else F.lit(False)
     return out.withColumn("age", age).withColumn("stale", stale).withColumn("tier", tier(F.col("corroboration"), F.col("stale")))

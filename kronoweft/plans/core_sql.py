@@ -7,7 +7,7 @@ MAX = 9223372036854775807
 
 _PLAIN = r"regexp_replace(regexp_replace(lower({0}), '^\s+|\s+$', '', 'g'), '[\s_-]+', '-', 'g')"
 _OBJ = """CASE WHEN object_node IS NOT NULL THEN 'node:' || object_node WHEN object_int IS NOT NULL THEN 'int:' || object_int
- WHEN object_float IS NOT NULL THEN 'float:' || CAST(object_float AS DECIMAL(20,4)) WHEN object_text IS NOT NULL THEN 'text:' || object_text
+ WHEN object_float IS NOT NULL THEN 'float:' || CAST(object_float AS VARCHAR) WHEN object_text IS NOT NULL THEN 'text:' || object_text
  WHEN object_bool IS NOT NULL THEN 'bool:' || object_bool END"""
 
 F = f"""f0 AS (SELECT fact_id AS ok, subject, {_PLAIN.format('predicate')} AS predicate, {_OBJ} AS object, object_node AS node, object_int AS i, object_text AS t,
