@@ -119,19 +119,44 @@ def supports(rule: Rule, history: DataFrame, over: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def maintain(rule: Rule, before: DataFrame, support: DataFrame, history: DataFrame, over: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, diffs) after a write: only subjects whose support was touched, or without a verdict, are judged anew.
+def reads(rule: Rule, history: DataFrame, over: DataFrame) -> DataFrame:
+    """The rows of history that the verdicts of ``over`` read, found key by key along the rule's paths.
+
+    A hop needs the rows of the nodes that the hop before it reached, so each hop is one semi-join with few keys, and
+    nothing else of the history is folded.
+    """
+    names = {*(h.predicate for hs in (rule.required, rule.distinct_from) for h in hs), rule.actual, *(c.predicate for c in (rule.scope, rule.absent_when) if c), *(h.as_of for hs in (rule.required, rule.distinct_from) for h in hs if h.as_of)}
+    mine = cut(history.where(F.col("predicate").isin(sorted(names))).join(over.select("subject"), "subject", "left_semi"), "own")
+    parts = [mine]
+    for hops in (rule.required, rule.distinct_from):
+        for n in range(1, len(hops)):
+            seen = parts[0]
+            for p in parts[1:]:
+                seen = seen.unionByName(p)
+            nodes = _walk(over, seen, heads(seen), hops[:n], "__w").select(F.col("__w").alias("subject")).where("subject IS NOT NULL").distinct()
+            parts.append(cut(history.where(F.col("predicate") == hops[n].predicate).join(nodes, "subject", "left_semi"), "hop"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct() if len(parts) > 1 else out
+
+
+def maintain(rule: Rule, before: DataFrame, support: DataFrame, history: DataFrame, over: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(verdicts, diffs, support) after a write: only subjects whose support was touched, or without a verdict, are judged anew.
 
     before: verdicts so far; support: as ``supports`` gave it for them; touched: subject, predicate of written keys;
     history and over: after the write. diffs: subject, old_verdict, new_verdict where any part of the verdict changed.
+    Of the history only the rows that the candidates' verdicts read are folded (``reads``).
     """
     hit = support.join(touched.select(F.col("subject").alias("node"), "predicate"), ["node", "predicate"], "left_semi").select("subject").distinct()
     fresh = over.join(before.select("subject"), "subject", "left_anti")
     again = cut(hit.join(over, "subject", "left_semi").unionByName(fresh).distinct(), "candidates")
-    new = cut(conformance(rule, history, again), "verdicts")
+    part = cut(reads(rule, history, again), "reads")
+    new = cut(conformance(rule, part, again), "verdicts")
     gone = before.join(over, "subject", "left_anti").select("subject")
     keep = before.join(again, "subject", "left_anti").join(gone, "subject", "left_anti")
-    return keep.unionByName(new), diff(before.join(again.unionByName(gone), "subject", "left_semi"), new)
+    left = support.join(again, "subject", "left_anti").join(gone, "subject", "left_anti").unionByName(supports(rule, part, again))
+    return keep.unionByName(new), diff(before.join(again.unionByName(gone), "subject", "left_semi"), new), left
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,48 +6,89 @@ folds to the same state.
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kronoweft.operators import changefeed, rules
-from kronoweft.session import cut, shared_dir
+from kronoweft.session import Files, cut, scratch, shared_dir
 
 
 @dataclass
 class FoldedState:
-    """The compacted changes of a stream, one Parquet version per batch; ``path`` names the current one.
+    """The compacted changes of a stream in a folder, hash-split by key into ``buckets``.
 
-    A batch is applied once: its number is kept with the state, and a replayed number is ignored.
+    A batch rewrites the buckets that it touches and then names, in one small file with the batch's number, where each
+    bucket now lies. The state is what the file with the greatest number names: a batch is applied once, a replayed
+    number is ignored, and a new FoldedState on the folder goes on where the last one stopped, as the stream's own
+    position (beside it in ``checkpoint``) does. A batch that failed half-way left nothing that is named.
     """
 
     spark: SparkSession
     folder: str
-    path: str | None = None
-    batch: int = -1
+    buckets: int = 64
     listeners: list[Callable[[DataFrame, int], None]] = field(default_factory=list)
 
+    def __post_init__(self):
+        self.files = Files(self.spark, f"{self.folder}/state")
+        self.load()
+
+    def load(self) -> None:
+        """Take up the newest state in the folder."""
+        self.batch, self.paths = -1, {}
+        if named := [n for n in self.files.names() if n.startswith("batch-")]:
+            told = json.loads(self.files.read(named[-1]))
+            self.batch, self.buckets, self.paths = told["batch"], told["buckets"], {int(k): v for k, v in told["paths"].items()}
+
+    def _read(self, buckets: Iterable[int]) -> DataFrame | None:
+        paths = sorted({f"{self.folder}/{self.paths[k]}" for k in buckets if k in self.paths})
+        return self.spark.read.parquet(*paths).select(*changefeed.FEED) if paths else None
+
     def changes(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path) if self.path else None
+        return self._read(self.paths)
 
     def apply(self, batch: DataFrame, number: int) -> None:
         if number <= self.batch:
             return
-        rows = batch.select(*changefeed.FEED)
-        if self.path:
-            rows = rows.unionByName(self.changes())
-        new = f"{self.folder}/state-{number}"
-        changefeed.compact(rows).write.mode("overwrite").parquet(new)
-        self.path, self.batch = new, number
-        keys = batch.where("predicate IS NOT NULL").select("subject", "predicate").distinct()
-        for f in self.listeners:
-            f(keys, number)
+        bucket = F.pmod(F.xxhash64("subject", "predicate"), F.lit(self.buckets)).cast("int")
+        with scratch():
+            rows = cut(batch.select(*changefeed.FEED).where("subject IS NOT NULL AND predicate IS NOT NULL"), "micro")
+            touched = sorted(r[0] for r in rows.select(bucket.alias("b")).distinct().collect())  # at most ``buckets``
+            if touched:
+                old = self._read(touched)
+                new = changefeed.compact(rows if old is None else rows.unionByName(old)).withColumn("bucket", bucket)
+                at = f"tables/{number}"
+                new.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{at}")
+                left = {k for k in touched if Files(self.spark, f"{self.folder}/{at}").exists(f"bucket={k}")}
+                self.paths = {k: v for k, v in self.paths.items() if k not in touched} | {k: f"{at}/bucket={k}" for k in left}
+            self._commit(number)
+            for f in self.listeners:
+                f(rows.select("subject", "predicate").distinct(), number)
+
+    def _commit(self, number: int) -> None:
+        self.files.write(f"batch-{number:012d}", json.dumps({"batch": number, "buckets": self.buckets, "paths": self.paths}))
+        before, self.batch = self.batch, number
+        if before < 0:
+            return
+        # what only the state before the last one names is no longer read; the last one may still be
+        for n in self.files.names():
+            if n.startswith("batch-") and n < f"batch-{before:012d}":
+                self.files.delete(n)
+        kept = {v for n in self.files.names() if n.startswith("batch-") for v in json.loads(self.files.read(n))["paths"].values()}
+        tables = Files(self.spark, f"{self.folder}/tables")
+        for n in tables.names():
+            if not any(v.startswith(f"tables/{n}/") for v in kept):
+                tables.delete(n)
 
     def current(self) -> DataFrame:
-        return changefeed.current_values(self.changes())
+        changes = self.changes()
+        if changes is None:
+            return self.spark.createDataFrame([], "subject long, predicate string, object string, seq long")
+        return changefeed.current_values(changes)
 
 
 def fold_stream(stream: DataFrame, state: FoldedState, available_now: bool = True):
@@ -56,13 +97,17 @@ def fold_stream(stream: DataFrame, state: FoldedState, available_now: bool = Tru
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
-def stream_current_values(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
-    """Current values after streaming all files of a change feed."""
+def read_feed(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
+    """A change feed in a file or a folder of files as a stream."""
     schema = spark.read.parquet(path).schema
     # a single file and a folder of files are both read as a pattern
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(path + "*")
-    state = FoldedState(spark, f"{shared_dir(spark).rstrip('/')}/kronoweft/stream-{uuid.uuid4().hex}")
-    fold_stream(stream, state).awaitTermination()
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(path + "*")
+
+
+def stream_current_values(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
+    """Current values after streaming all files of a change feed."""
+    state = FoldedState(spark, f"{shared_dir(spark).rstrip('/')}/kronoweft/stream-{uuid.uuid4().hex}", buckets=max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    fold_stream(read_feed(spark, path, files_per_batch), state).awaitTermination()
     return state.current()
 
 
@@ -119,10 +164,9 @@ class Watch:
 
     def apply(self, touched: DataFrame, head: int) -> DataFrame:
         """Bring the verdicts up to a head at which the given keys were written; returns the diffs."""
-        new, diffs = rules.maintain(self.rule, self.verdicts, self.support, self.history(), self.over(), touched)
+        new, diffs, support = rules.maintain(self.rule, self.verdicts, self.support, self.history(), self.over(), touched)
         diffs = cut(diffs, "diffs")
-        self.verdicts = cut(new, "verdicts")
-        self.support = cut(rules.supports(self.rule, self.history(), self.over()), "supports")
+        self.verdicts, self.support = cut(new, "verdicts"), cut(support, "supports")
         self.head = head
         self.journal = [*self.journal, (head, diffs)][-self.keep :]
         return diffs

@@ -100,6 +100,31 @@ def test_stream_equals_batch(spark, rows, tmp_path):
     assert rows(got) == rows(entry.queries()["p1_found"](spark, DATA))
 
 
+def test_stream_goes_on_after_a_restart(spark, rows, tmp_path):
+    """Half of the feed, a new state on the same folder, the other half; and a batch that is delivered twice."""
+    spark.read.parquet(f"{DATA}/record_feed.parquet").repartition(4).write.parquet(str(tmp_path / "feed"))
+    files = sorted((tmp_path / "feed").glob("part-*"))
+    first, folder = tmp_path / "in", f"file://{tmp_path}/fold"
+    first.mkdir()
+    for half in (files[:2], files[2:]):
+        for f in half:
+            f.rename(first / f.name)
+        state = live.FoldedState(spark, folder, buckets=3)
+        live.fold_stream(live.read_feed(spark, str(first), 1), state).awaitTermination()
+    assert state.batch == 3 and rows(state.current()) == rows(entry.queries()["p1_found"](spark, DATA))
+    again = live.FoldedState(spark, folder)
+    assert (again.batch, again.buckets, again.paths) == (state.batch, 3, state.paths)
+    again.apply(spark.read.parquet(str(first)).limit(5), 3)
+    assert rows(again.current()) == rows(state.current())
+    # only the tables of the last two states are left
+    assert len(list((tmp_path / "fold" / "tables").iterdir())) <= 6 and len(list((tmp_path / "fold" / "state").glob("batch-*"))) == 2
+    # a batch that touches one key rewrites one bucket
+    before = dict(again.paths)
+    again.apply(spark.read.parquet(f"{DATA}/record_feed.parquet").where("subject IS NOT NULL AND predicate IS NOT NULL").limit(1), 4)
+    assert sum(before.get(k) != v for k, v in again.paths.items()) == 1 and rows(again.current()) == rows(state.current())
+    assert rows(live.FoldedState(spark, f"file://{tmp_path}/none").current()) == []
+
+
 def test_live_queries(spark):
     state = {"df": spark.createDataFrame([(1,), (2,)], "x int")}
     told = []
