@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kronoweft.model import visible
-from kronoweft.session import cut
+from kronoweft.session import cut, table_path
 
 
 @dataclass(frozen=True)
@@ -64,20 +64,25 @@ def expand(start: DataFrame, e: DataFrame, predicate: str, rel: Relation = Relat
 
 
 def closure(start: DataFrame, step: DataFrame, max_depth: int = 16) -> DataFrame:
-    """subject, node, depth: all nodes within max_depth steps of each start, at their least depth."""
+    """subject, node, depth: all nodes within max_depth steps of each start, at their least depth.
+
+    Each hop is written, as a part of the one table of all that has been seen, and counted in one job. It is anti-joined
+    with that table, of which only the columns of the pair are read.
+    """
+    spark = start.sparkSession
     step = cut(step.select(F.col("subject").alias("node"), F.col("object").alias("next")).distinct(), "steps")
     frontier = start.select("subject", F.col("subject").alias("node")).distinct()
-    seen: DataFrame | None = None
+    path, empty = table_path(spark, "closure"), spark.createDataFrame([], "subject long, node long, depth int")
     for depth in range(1, max_depth + 1):
-        new = frontier.join(step, "node").select("subject", F.col("next").alias("node")).distinct()
-        if seen is not None:
-            new = new.join(seen, ["subject", "node"], "left_anti")
-        new = cut(new.withColumn("depth", F.lit(depth)), "hop")
-        if new.isEmpty():
+        new = frontier.join(step, "node").select("subject", F.col("next").alias("node"))
+        if depth > 1:
+            new = new.join(spark.read.schema(empty.schema).parquet(path).select("subject", "node"), ["subject", "node"], "left_anti")
+        grown = Observation()
+        new.distinct().observe(grown, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/depth={depth}")
+        if not grown.get["n"]:
             break
-        seen = new if seen is None else seen.unionByName(new)
-        frontier = new.select("subject", "node")
-    return seen if seen is not None else start.sparkSession.createDataFrame([], "subject long, node long, depth int")
+        frontier = spark.read.schema("subject long, node long").parquet(f"{path}/depth={depth}")
+    return spark.read.schema(empty.schema).parquet(path) if max_depth > 0 else empty
 
 
 def neighbours(start: DataFrame, e: DataFrame) -> DataFrame:
@@ -114,19 +119,25 @@ def neighbourhood(start: DataFrame, e: DataFrame, hops: int = 2, max_nodes: int
     Only edges of nodes that were expanded (depth < hops) are given. max_nodes keeps the nodes of each start that come
     first by (depth, id).
     """
-    both = undirected(e)
-    found = closure(start, both.select(F.col("a").alias("subject"), F.col("b").alias("object")), hops).where("subject <> node")
-    nodes = start.select("subject", F.col("subject").alias("node"), F.lit(0).alias("depth")).distinct().unionByName(found)
+    # read in both directions at every hop
+    e, start = cut(e, "edges"), start.select("subject").distinct()
+    nodes = cut(start.select("subject", F.col("subject").alias("node"), F.lit(0).alias("depth")), "nodes")
+    for depth in range(1, hops + 1):
+        edge = nodes.where(F.col("depth") == depth - 1).select("subject", F.col("node").alias("n"))
+        out = edge.join(e.select(F.col("subject").alias("n"), F.col("object").alias("node")), "n").unionByName(edge.join(e.select(F.col("object").alias("n"), F.col("subject").alias("node")), "n"))
+        reached = out.select("subject", "node", F.lit(depth).alias("depth")).unionByName(nodes)
+        nodes = cut(reached.groupBy("subject", "node").agg(F.min("depth").alias("depth")), "nodes")
     if max_nodes is not None:
         from pyspark.sql import Window
 
         w = Window.partitionBy("subject").orderBy("depth", "node")
         nodes = nodes.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_nodes).drop("r")
-    nodes = cut(nodes, "nodes")
-    left = nodes.where(F.col("depth") < hops).select("subject", F.col("node").alias("a"))
-    touched = left.join(both, "a").join(nodes.select("subject", F.col("node").alias("b")), ["subject", "b"])
-    pairs = touched.where("a <> b").select("subject", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return nodes, pairs.join(strengths(e), ["a", "b"]).select("subject", "a", "b", "strength")
+    nodes = cut(nodes, "nodes") if max_nodes is not None else nodes
+    left, right = nodes.where(F.col("depth") < hops).select("subject", F.col("node").alias("x")), nodes.select("subject", F.col("node").alias("y"))
+    ends = e.where("subject <> object").select(F.col("subject").alias("x"), F.col("object").alias("y"), "predicate")
+    touched = left.join(ends, "x").unionByName(left.join(ends.select(F.col("y").alias("x"), F.col("x").alias("y"), "predicate"), "x")).join(right, ["subject", "y"])
+    pairs = touched.groupBy("subject", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count_distinct("predicate").alias("strength"))
+    return nodes, pairs.select("subject", "a", "b", "strength")
 
 
 def induced(e: DataFrame, attrs: DataFrame, mask: int, max_nodes: int = 3000) -> tuple[DataFrame, DataFrame, bool]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kronoweft.functions import calendar
 from kronoweft.model import object_text, visible
+from kronoweft.operators import confidence
 
 CONTEXT = 80
 NAMES = ["name", "title", "display_name", "full_name"]
@@ -39,6 +40,14 @@ def find(one: DataFrame, many: DataFrame, needle: str, attrs: DataFrame | None =
     return out
 
 
+def first_found(found: DataFrame, limit: int) -> DataFrame:
+    """found with ``truncated``: the first ``limit`` nodes, and whether there are more."""
+    few = found.orderBy("node").limit(limit + 1)
+    w = Window.orderBy("node")  # sees limit + 1 rows
+    few = few.withColumn("__r", F.row_number().over(w)).withColumn("truncated", F.max("__r").over(Window.partitionBy(F.lit(1))) > limit)
+    return few.where(F.col("__r") <= limit).drop("__r")
+
+
 def display_name(one: DataFrame, display: list[str] = ()) -> DataFrame:
     """node, name: the text of a declared display predicate, else of the first usual name predicate."""
     order = [*sorted(display), *[n for n in NAMES if n not in display]]
@@ -47,10 +56,19 @@ def display_name(one: DataFrame, display: list[str] = ()) -> DataFrame:
     return rows.groupBy(F.col("subject").alias("node")).agg(F.min_by("object.t", rank).alias("name"))
 
 
-def describe(one: DataFrame, many: DataFrame) -> DataFrame:
-    """node, predicate, value, source: every current value of each node."""
-    a = one.where("object IS NOT NULL").select(F.col("subject").alias("node"), "predicate", object_text("object").alias("value"), "source")
-    return a.unionByName(many.select(F.col("subject").alias("node"), "predicate", object_text("object").alias("value"), F.lit(None).cast("string").alias("source")))
+def describe(history: DataFrame, many: DataFrame, attrs: DataFrame, embeddings: DataFrame | None = None, now: int | None = None, max_age: int | None = None) -> DataFrame:
+    """node, predicate, value, source, tier, type, label, embedded: every current value of each node, with what is known of the node.
+
+    Nodes without a value have one row with a NULL predicate.
+    """
+    a = confidence.signals(history, now, max_age).where("object IS NOT NULL").select(F.col("subject").alias("node"), "predicate", object_text("object").alias("value"), "source", "tier")
+    none = F.lit(None).cast("string")
+    values = a.unionByName(many.select(F.col("subject").alias("node"), "predicate", object_text("object").alias("value"), none.alias("source"), none.alias("tier")))
+    out = values.join(attrs.select("node", "type", "label"), "node", "full")
+    if embeddings is None:
+        return out.withColumn("embedded", F.lit(False))
+    has = embeddings.select(F.col("id").alias("node"), F.lit(True).alias("__has"))
+    return out.join(has, "node", "left").withColumn("embedded", F.coalesce("__has", F.lit(False))).drop("__has")
 
 
 def context(hits: DataFrame, as_of: Column | int | None = None, **frame: int) -> DataFrame:
@@ -64,5 +82,10 @@ def context(hits: DataFrame, as_of: Column | int | None = None, **frame: int) ->
     return hits.withColumn("stamp", stamp).withColumn("line", F.when(stamp.isNotNull(), F.concat(F.lit("- ["), stamp, F.lit("] "), text)).otherwise(F.concat(F.lit("- "), text)))
 
 
+def in_order(hits: DataFrame) -> list[Column]:
+    """The order of a context block: oldest first, undated last, then by score and node."""
+    return [F.col("date").asc_nulls_last(), F.col("score").desc(), F.col("node")]
+
+
 def context_block(lines: list[str]) -> str:
     return "\n".join(["(excerpts oldest→newest)", *lines])

@@ -1,7 +1,7 @@
 """Declared audit rules: conformance verdicts, their incremental maintenance, and completeness.
 
-A rule is compiled into a chain of left joins, one verdict row per subject. An as-of hop is an as-of join at the
-subject's anchor instant.
+A rule is compiled into one aggregate over the subjects' own predicates and a join per further hop, one verdict row per
+subject. An as-of hop is an as-of join at the subject's anchor instant.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kronoweft.model import object_text, visible
-from kronoweft.operators import temporal
+from kronoweft.operators import fold, temporal
 from kronoweft.operators.fold import KEY, heads
 from kronoweft.session import cut
 
@@ -47,31 +47,55 @@ class Rule:
         return cls(spec["subject"], spec["actual"], hops(spec.get("required")), hops(spec.get("distinct_from")), cond(spec.get("scope")), cond(spec.get("absent_when")))
 
 
-def _value(df: DataFrame, one: DataFrame, on: str, predicate: str, out: str, value: Column) -> DataFrame:
-    """df with ``out``: the current value of a predicate at the node in column ``on``."""
-    v = one.where(F.col("predicate") == predicate).select(F.col("subject").alias("__n"), value.alias(out))
-    return df.join(v, df[on] == v["__n"], "left").drop("__n")
+def _paths(rule: Rule) -> list[tuple[str, list[Hop]]]:
+    return [("required", rule.required), ("distinct_value", rule.distinct_from)]
 
 
-def _walk(df: DataFrame, history: DataFrame, one: DataFrame, hops: list[Hop], name: str) -> DataFrame:
-    """df with ``name`` (end node), ``name_asof`` and the key of the last hop read if it was an as-of hop."""
-    node, asof, probe = f"{name}", f"{name}_asof", f"{name}_probe"
+def _own(rule: Rule) -> list[str]:
+    """The predicates of the subject itself that a verdict reads, first hops left out."""
+    conditions = [c.predicate for c in (rule.scope, rule.absent_when) if c]
+    return sorted({rule.actual, *conditions, *(h.as_of for _, hops in _paths(rule) for h in hops if h.as_of)})
+
+
+def _walked(rule: Rule, history: DataFrame, over: DataFrame) -> DataFrame:
+    """For each subject its own current objects (own:<predicate>) and along each path the nodes that its hops start at and end in.
+
+    The subject's own predicates are folded in one aggregate. A hop folds only the rows of the nodes it starts at, so
+    judging few subjects reads few keys. For path p and hop i: p:<i> is the node it starts at, p the end, p_asof the
+    instant of the last as-of hop, and p_probe the key of the last hop if that is an as-of hop.
+    """
+    firsts = {hops[0].predicate for _, hops in _paths(rule) if hops and hops[0].as_of is None}
+    names = sorted({*_own(rule), *firsts})
+    mine = history.where(F.col("predicate").isin(names)).join(over.select("subject").distinct(), "subject", "left_semi")
+    heads_ = mine.groupBy("subject").agg(*[F.max_by("object", F.when(F.col("predicate") == n, F.col("ok"))).alias(f"own:{n}") for n in names])
+    df = over.join(heads_, "subject", "left")
     none = F.lit(None)
-    df = df.withColumn(node, F.col("subject") if hops else none.cast("long")).withColumn(asof, none.cast("long")).withColumn(probe, none.cast("struct<subject:bigint,predicate:string>"))
-    for h in hops:
-        alive = F.col(node).isNotNull()
-        if h.as_of is None:
-            df = _value(df, one, node, h.predicate, "__next", F.col("object.node")).withColumn(probe, F.when(~alive, F.col(probe)))
-        else:
-            df = _value(df, one, "subject", h.as_of, "__at", F.col("object.i"))
-            df = df.withColumn(asof, F.when(alive, F.col("__at")).otherwise(F.col(asof)))
-            df = df.withColumn(probe, F.when(alive, F.struct(F.col(node).alias("subject"), F.lit(h.predicate).alias("predicate"))).otherwise(F.col(probe)))
-            lines = temporal.timeline(history.where(F.col("predicate") == h.predicate))
-            asks = df.where(alive & F.col("__at").isNotNull()).select(F.col(node).alias("subject"), F.lit(h.predicate).alias("predicate"), F.col("__at").alias("at"), F.col("subject").alias("__s"))
-            found = temporal.asof_join(asks, lines).select("__s", F.when(F.col("value").startswith("node:"), F.substring("value", 6, 30).cast("long")).alias("__next"))
-            df = df.join(found, df["subject"] == found["__s"], "left").drop("__s", "__at")
-        df = df.withColumn(node, F.col("__next")).drop("__next")
-    return df
+    further = {h.predicate for _, hops in _paths(rule) for i, h in enumerate(hops) if i or h.as_of}
+    if further:  # read once, however many hops there are
+        history = cut(history.where(F.col("predicate").isin(sorted(further))).select(*KEY, "ok", "object", "valid_from", "valid_to", "source"), "hops")
+    for name, hops in _paths(rule):
+        node, asof, probe = name, f"{name}_asof", f"{name}_probe"
+        df = df.withColumn(node, F.col("subject") if hops else none.cast("long")).withColumn(asof, none.cast("long")).withColumn(probe, none.cast("struct<subject:bigint,predicate:string>"))
+        for i, h in enumerate(hops):
+            df = df.withColumn(f"{name}:{i}", F.col(node))
+            alive = F.col(node).isNotNull()
+            if h.as_of is None and i == 0:
+                df = df.withColumn(probe, F.when(~alive, F.col(probe))).withColumn(node, F.col(f"own:{h.predicate}.node"))
+                continue
+            df = cut(df, "walk") if h.as_of else df
+            rows = history.where(F.col("predicate") == h.predicate).join(df.select(F.col(node).alias("subject")).where("subject IS NOT NULL").distinct(), "subject", "left_semi")
+            if h.as_of is None:
+                step = heads(rows).select(F.col("subject").alias("__n"), F.col("object.node").alias("__next"))
+                df = df.join(step, df[node] == step["__n"], "left").drop("__n").withColumn(probe, F.when(~alive, F.col(probe)))
+            else:
+                at = F.col(f"own:{h.as_of}.i")
+                df = df.withColumn(asof, F.when(alive, at).otherwise(F.col(asof)))
+                df = df.withColumn(probe, F.when(alive, F.struct(F.col(node).alias("subject"), F.lit(h.predicate).alias("predicate"))).otherwise(F.col(probe)))
+                asks = df.where(alive & at.isNotNull()).select(F.col(node).alias("subject"), F.lit(h.predicate).alias("predicate"), at.alias("at"), F.col("subject").alias("__s"))
+                found = temporal.asof_lookup(asks, rows, "__s").select("__s", F.when(F.col("value").startswith("node:"), F.substring("value", 6, 30).cast("long")).alias("__next"))
+                df = df.join(found, df["subject"] == found["__s"], "left").drop("__s")
+            df = df.withColumn(node, F.col("__next")).drop("__next")
+    return cut(df, "walk")
 
 
 def subjects(attrs: DataFrame, node_type: str, mask: int) -> DataFrame:
@@ -85,12 +109,22 @@ def conformance(rule: Rule, history: DataFrame, over: DataFrame) -> DataFrame:
     absence condition holds, else OK; an actual value that is not the required one is a MISMATCH (stale if the last,
     as-of hop ever held it, else wrong), as is one that equals the value it must differ from (wrong).
     """
-    one = heads(history)
-    df = _walk(_walk(over, history, one, rule.required, "required"), history, one, rule.distinct_from, "distinct_value")
-    df = _value(df, one, "subject", rule.actual, "actual", F.col("object"))
-    held = temporal.ever_held(history).where(F.col("object.node").isNotNull()).select(F.struct("subject", "predicate").alias("__k"), F.col("object.node").alias("__v"), F.lit(True).alias("__held"))
+    return _verdicts(rule, history, _walked(rule, history, over))
+
+
+def judge(rule: Rule, history: DataFrame, over: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """conformance and supports of the same subjects, from one walk."""
+    walked = _walked(rule, history, over)
+    return _verdicts(rule, history, walked), _supports(rule, walked)
+
+
+def _verdicts(rule: Rule, history: DataFrame, df: DataFrame) -> DataFrame:
+    df = df.withColumn("actual", F.col(f"own:{rule.actual}"))
+    probes = df.where("required_probe IS NOT NULL AND actual.node IS NOT NULL").select("required_probe.subject", "required_probe.predicate", F.col("actual.node").alias("__v")).distinct()
+    held = history.select("subject", "predicate", F.col("object.node").alias("__v")).join(probes, ["subject", "predicate", "__v"], "left_semi").distinct()
+    held = held.select(F.struct("subject", "predicate").alias("__k"), "__v", F.lit(True).alias("__held"))
     df = df.join(held, (df["required_probe"] == held["__k"]) & (df["actual.node"] == held["__v"]), "left")
-    test = lambda c, out: _value(df, one, "subject", c.predicate, out, object_text("object")) if c else df.withColumn(out, F.lit(None).cast("string"))
+    test = lambda c, out: df.withColumn(out, object_text(f"own:{c.predicate}") if c else F.lit(None).cast("string"))
     df = test(rule.scope, "__scope")
     df = test(rule.absent_when, "__absent")
     in_scope = F.coalesce(F.col("__scope") == rule.scope.equals, F.lit(False)) if rule.scope else F.lit(True)
@@ -109,36 +143,13 @@ def conformance(rule: Rule, history: DataFrame, over: DataFrame) -> DataFrame:
 
 def supports(rule: Rule, history: DataFrame, over: DataFrame) -> DataFrame:
     """subject, node, predicate: the keys that each subject's verdict reads (or would read next)."""
-    one = heads(history)
-    own = {rule.actual, *(c.predicate for c in (rule.scope, rule.absent_when) if c), *(h.as_of for hs in (rule.required, rule.distinct_from) for h in hs if h.as_of)}
-    out = over.select("subject", F.col("subject").alias("node"), F.explode(F.array(*map(F.lit, sorted(own)))).alias("predicate"))
-    for hops in (rule.required, rule.distinct_from):
-        for n, h in enumerate(hops):
-            at = _walk(over, history, one, hops[:n], "__w").select("subject", F.coalesce("__w", F.lit(None).cast("long")).alias("node")) if n else over.select("subject", F.col("subject").alias("node"))
-            out = out.unionByName(at.where("node IS NOT NULL").withColumn("predicate", F.lit(h.predicate)))
-    return out.distinct()
-
+    return _supports(rule, _walked(rule, history, over))
 
-def reads(rule: Rule, history: DataFrame, over: DataFrame) -> DataFrame:
-    """The rows of history that the verdicts of ``over`` read, found key by key along the rule's paths.
 
-    A hop needs the rows of the nodes that the hop before it reached, so each hop is one semi-join with few keys, and
-    nothing else of the history is folded.
-    """
-    names = {*(h.predicate for hs in (rule.required, rule.distinct_from) for h in hs), rule.actual, *(c.predicate for c in (rule.scope, rule.absent_when) if c), *(h.as_of for hs in (rule.required, rule.distinct_from) for h in hs if h.as_of)}
-    mine = cut(history.where(F.col("predicate").isin(sorted(names))).join(over.select("subject"), "subject", "left_semi"), "own")
-    parts = [mine]
-    for hops in (rule.required, rule.distinct_from):
-        for n in range(1, len(hops)):
-            seen = parts[0]
-            for p in parts[1:]:
-                seen = seen.unionByName(p)
-            nodes = _walk(over, seen, heads(seen), hops[:n], "__w").select(F.col("__w").alias("subject")).where("subject IS NOT NULL").distinct()
-            parts.append(cut(history.where(F.col("predicate") == hops[n].predicate).join(nodes, "subject", "left_semi"), "hop"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct() if len(parts) > 1 else out
+def _supports(rule: Rule, df: DataFrame) -> DataFrame:
+    own = F.transform(F.array(*map(F.lit, _own(rule))), lambda p: F.struct(F.col("subject").alias("node"), p.alias("predicate")))
+    hops = [F.struct(F.col(f"{name}:{i}").alias("node"), F.lit(h.predicate).alias("predicate")) for name, hs in _paths(rule) for i, h in enumerate(hs)]
+    return df.select("subject", F.explode(F.concat(own, F.array(*hops)) if hops else own).alias("k")).select("subject", "k.*").where("node IS NOT NULL").distinct()
 
 
 def maintain(rule: Rule, before: DataFrame, support: DataFrame, history: DataFrame, over: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -146,16 +157,16 @@ def maintain(rule: Rule, before: DataFrame, support: DataFrame, history: DataFra
 
     before: verdicts so far; support: as ``supports`` gave it for them; touched: subject, predicate of written keys;
     history and over: after the write. diffs: subject, old_verdict, new_verdict where any part of the verdict changed.
-    Of the history only the rows that the candidates' verdicts read are folded (``reads``).
+    Of the history only the rows that the candidates' verdicts read are folded (``_walked``).
     """
     hit = support.join(touched.select(F.col("subject").alias("node"), "predicate"), ["node", "predicate"], "left_semi").select("subject").distinct()
     fresh = over.join(before.select("subject"), "subject", "left_anti")
     again = cut(hit.join(over, "subject", "left_semi").unionByName(fresh).distinct(), "candidates")
-    part = cut(reads(rule, history, again), "reads")
-    new = cut(conformance(rule, part, again), "verdicts")
+    new, rests = judge(rule, history, again)
+    new = cut(new, "verdicts")
     gone = before.join(over, "subject", "left_anti").select("subject")
     keep = before.join(again, "subject", "left_anti").join(gone, "subject", "left_anti")
-    left = support.join(again, "subject", "left_anti").join(gone, "subject", "left_anti").unionByName(supports(rule, part, again))
+    left = support.join(again, "subject", "left_anti").join(gone, "subject", "left_anti").unionByName(rests)
     return keep.unionByName(new), diff(before.join(again.unionByName(gone), "subject", "left_semi"), new), left
 
 
@@ -179,3 +190,16 @@ def completeness(over: DataFrame, one: DataFrame, many_edges: DataFrame, require
     j = over.join(got, "subject", "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
     missing = F.array_except(F.array(*map(F.lit, required)), F.col("got"))
     return j.select(F.col("subject").alias("node"), F.array_join(missing, ",").alias("missing")).where("missing <> ''")
+
+
+def maintain_completeness(before: DataFrame, over: DataFrame, log: DataFrame, touched: DataFrame, required: list[str], plain: bool = False) -> DataFrame:
+    """Completeness after a write: only subjects whose required predicates were touched, or that are new, are looked at again.
+
+    before: as ``completeness`` gave it; log: after the write, of which only the rows of those subjects are folded.
+    """
+    hit = over.join(touched.where(F.col("predicate").isin(required)).select("subject").distinct(), "subject", "left_semi")
+    hit = cut(hit, "touched")
+    part = log.where(F.col("predicate").isin(required)).join(hit, "subject", "left_semi")
+    edges = fold.many(part, plain=plain).where(F.col("object.node").isNotNull()).select("subject", "predicate", F.col("object.node").alias("object"))
+    again = completeness(hit, fold.one(part, plain=plain), edges, required)
+    return before.join(hit.withColumnRenamed("subject", "node"), "node", "left_anti").join(over.withColumnRenamed("subject", "node"), "node", "left_semi").unionByName(again)

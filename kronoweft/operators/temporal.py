@@ -82,6 +82,27 @@ def asof_join(probes: DataFrame, timelines: DataFrame, most: int | None = None)
     return out.unionByName(probes.where("at IS NULL").withColumn("value", F.lit(None).cast("string")).select(*out.columns))
 
 
+#: Pairs of a probe and a version row, per row of both, up to which they are joined directly.
+PAIRS = 8
+
+
+def asof_lookup(probes: DataFrame, history: DataFrame, row: str, most: int | None = None) -> DataFrame:
+    """row, value in effect at each probe's instant. probes: subject, predicate, at and a unique ``row``; history: fold.one_history.
+
+    Where keys have few versions or few probes, probes are joined with the versions that cover them; how many pairs
+    that makes is counted first, and beyond PAIRS per row of both sides they are merged in time (asof_join).
+    """
+    probes = cut(probes.select(*KEY, "at", row).where("at IS NOT NULL"), "probes")
+    history = cut(history, "asked")
+    each = probes.select(*KEY, F.lit(1).alias("p"), F.lit(0).alias("h")).unionByName(history.select(*KEY, F.lit(0).alias("p"), F.lit(1).alias("h"))).groupBy(*KEY).agg(F.sum("p").alias("p"), F.sum("h").alias("h"))
+    n = each.agg(F.sum(F.col("p") * F.col("h")).alias("pairs"), F.sum(F.col("p") + F.col("h")).alias("rows")).first()
+    if (n["pairs"] or 0) > PAIRS * (n["rows"] or 0):
+        return asof_join(probes, timeline(history, most), most).select(row, "value")
+    met = probes.join(history, KEY).where(covers(F.col("at")))
+    best = met.groupBy(row).agg(F.max_by(object_text("object"), F.struct("valid_from", "ok")).alias("value"))
+    return probes.select(row).join(best, row, "left")
+
+
 def ever_held(history: DataFrame) -> DataFrame:
     """subject, predicate, object of everything ever stated."""
     return history.where("object IS NOT NULL").select(*KEY, "object").distinct()

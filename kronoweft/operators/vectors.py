@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kronoweft.model import visible
+from kronoweft.session import cut
 
 #: Queries that go to the rows at once.
 BLOCK = 2048
+#: Points of a cell of an inverted file that one task scores.
+CELL = 16_384
 
 
 def latest(rows: DataFrame, node: str = "node", order: str = "vector_id", vector: str = "vector") -> DataFrame:
@@ -133,6 +136,7 @@ class Ivf:
     centres: np.ndarray
     books: np.ndarray  # (m, codes, dim / m)
     trained_fit: float = 0.0
+    trained_rows: int = 0
 
     @classmethod
     def train(cls, rows: DataFrame, sample: int = 20_000, m: int | None = None, codes: int = 256, seed: int = 7) -> Ivf:
@@ -145,7 +149,7 @@ class Ivf:
         dim = x.shape[1]
         m = m or next(i for i in range(min(96, dim), 0, -1) if dim % i == 0 and (dim // i >= 4 or i == 1))
         books = np.stack([_kmeans(p, min(codes, len(x)), rng) for p in np.split(x, m, axis=1)])
-        out = cls(centres, books)
+        out = cls(centres, books, trained_rows=n)
         out.trained_fit = float(np.sqrt(((x - centres[nearest(x, centres)]) ** 2).sum(1)).mean())
         return out
 
@@ -162,7 +166,7 @@ class Ivf:
 
 
 def index(rows: DataFrame, ivf: Ivf) -> DataFrame:
-    """rows (id, x and others) with cell and code."""
+    """rows (id, x and others) with cell and code, written once in order of cells, so that a search reads the cells it probes."""
     shared = rows.sparkSession.sparkContext.broadcast(ivf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,43 +177,68 @@ def index(rows: DataFrame, ivf: Ivf) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(x, shared.value.centres), pa.int32()), pa.array(code, pa.binary())], ["id", "x", "cell", "code"])
 
     kind = rows.schema["x"].dataType.simpleString()
-    return rows.select(F.col("id").cast("long").alias("id"), "x").mapInArrow(run, f"id long, x {kind}, cell int, code binary")
+    out = rows.select(F.col("id").cast("long").alias("id"), "x").mapInArrow(run, f"id long, x {kind}, cell int, code binary")
+    return cut(out.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id"), "index")
+
+
+def probed(queries: DataFrame, ivf: Ivf, probes: int) -> DataFrame:
+    """query, x, cell: a row for each cell that a query probes."""
+    shared = queries.sparkSession.sparkContext.broadcast(ivf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = min(probes, len(shared.value.centres))
+                cells = np.array([shared.value.probes(v, n) for v in matrix(b.column(1), b.num_rows)])
+                at = pa.array(np.repeat(np.arange(b.num_rows), n))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cells.ravel(), pa.int32())], ["query", "x", "cell"])
+
+    kind = queries.schema["x"].dataType.simpleString()
+    return queries.select(F.col("id").cast("long").alias("id"), "x").mapInArrow(run, f"query long, x {kind}, cell int")
+
+
+def _in_cells(indexed: DataFrame, asks: DataFrame, of, schema: str) -> DataFrame:
+    """``of(points, queries)`` for the points of each cell and the queries that ask for it; hot cells in blocks of points.
+
+    Points of cells that nobody asks for are not read beyond the statistics of their row groups, where few are asked for.
+    """
+    cells = [r[0] for r in asks.select("cell").distinct().collect()]  # at most the number of cells
+    some = indexed.where(F.col("cell").isin(cells)) if len(cells) <= 1000 else indexed.join(asks.select("cell").distinct(), "cell", "left_semi")
+    blocks = some.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
+    block = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+    points = some.join(F.broadcast(blocks), "cell").select("cell", block.alias("b"), F.lit(0).alias("side"), "id", F.col("x").cast("array<double>").alias("x"), "code")
+    queries = asks.join(F.broadcast(blocks), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"), F.lit(1).alias("side"), F.col("query").alias("id"), F.col("x").cast("array<double>").alias("x"), F.lit(None).cast("binary").alias("code"))
+
+    def run(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        p, q = t.filter(pa.array(side == 0)).combine_chunks(), t.filter(pa.array(side == 1)).combine_chunks()
+        return of(p, q)
+
+    return points.unionByName(queries).groupBy("cell", "b").applyInArrow(run, schema)
 
 
 def search(indexed: DataFrame, ivf: Ivf, queries: DataFrame, k: int = 10, probes: int = 8, rerank: int = 256) -> DataFrame:
     """As knn, over the probed cells: the ``rerank`` best by code distance, of those the k best by exact distance."""
-    parts = []
-    for qid, q in _blocks(queries):
-        shared = indexed.sparkSession.sparkContext.broadcast((qid, q, ivf))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, q, ivf = shared.value
-            tables = [ivf.table(v) for v in q]
-            cells = [set(ivf.probes(v, probes).tolist()) for v in q]
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids, x, cell = b.column(0).to_numpy(), matrix(b.column(1), b.num_rows), b.column(2).to_numpy()
-                code = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                by = {c: np.flatnonzero(cell == c) for c in np.unique(cell).tolist()}
-                out = []
-                for i, v in enumerate(q):
-                    hit = [by[c] for c in cells[i] if c in by]
-                    if not hit:
-                        continue
-                    at = np.concatenate(hit)
-                    near = tables[i][np.arange(code.shape[1]), code[at]].sum(1)
-                    best = _best(near, ids[at], rerank)
-                    exact = ((x[at[best]] - v) ** 2).sum(1)
-                    out.append((np.full(len(best), qid[i]), ids[at[best]], near[best], exact))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], ["query", "id", "near", "dist"])
-
-        parts.append(indexed.select("id", "x", "cell", "code").mapInArrow(run, "query long, id long, near double, dist double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    shared = indexed.sparkSession.sparkContext.broadcast(ivf)
+
+    def of(p: pa.Table, q: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
+        if len(p) and len(q):
+            ids, x = p.column("id").to_numpy(), matrix(p.column("x").chunk(0), len(p))
+            code = np.frombuffer(b"".join(p.column("code").to_pylist()), np.uint8).reshape(len(p), -1)
+            for i, v in zip(q.column("id").to_pylist(), matrix(q.column("x").chunk(0), len(q))):
+                near = shared.value.table(v)[np.arange(code.shape[1]), code].sum(1)
+                best = _best(near, ids, rerank)
+                for z, y in zip(out, (np.full(len(best), i), ids[best], near[best], ((x[best] - v) ** 2).sum(1))):
+                    z.append(y)
+        return pa.table([np.concatenate(z) for z in out], ["query", "id", "near", "dist"])
+
+    out = _in_cells(indexed, probed(queries, ivf, probes), of, "query long, id long, near double, dist double")
     out = out.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("near", "id"))).where(F.col("r") <= rerank)
+    return _ranked(out, k)
+
+
+def _ranked(out: DataFrame, k: int) -> DataFrame:
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("dist", "id"))).where(F.col("rank") <= k)
     return out.select("query", "id", "dist", (1 / (1 + F.col("dist"))).alias("score"), "rank")
 
@@ -227,25 +256,57 @@ def calibrated_probes(indexed: DataFrame, ivf: Ivf, k: int = 10, target: float =
     return needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)] if needed else 1
 
 
-def search_complete(indexed: DataFrame, ivf: Ivf, query: list[float], k: int = 10, probes: int = 8, budget: int = 4096) -> tuple[DataFrame, int, bool]:
-    """Probed cells, then the other cells nearest first, scored exactly while they fit the budget.
+def search_complete(indexed: DataFrame, ivf: Ivf, queries: DataFrame, k: int = 10, probes: int = 8, budget: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Probed cells, then the other cells nearest first, scored exactly while they fit each query's budget of rows.
 
-    A cell that does not fit is left out whole. Returns the result, how many rows of the tail were scored, and
-    whether any were left out.
+    A cell that does not fit is left out whole, and smaller ones beyond it are still taken. Returns the result, and per
+    query how many rows of the tail were scored and whether any were left out.
     """
-    q = np.array(query, np.float64)
-    order = ivf.probes(q, len(ivf.centres)).tolist()
-    sizes = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    take, tail, truncated = order[:probes], 0, False
-    for c in order[probes:]:
-        n = sizes.get(c, 0)
-        if tail + n > budget:
-            truncated = truncated or n > 0
-            continue
-        take.append(c)
-        tail += n
-    one = indexed.sparkSession.createDataFrame([(0, [float(v) for v in query])], "id long, x array<double>")
-    return knn(indexed.where(F.col("cell").isin(take)), one, k), tail, truncated
+    held = np.zeros(len(ivf.centres), np.int64)
+    for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most the number of cells
+        held[r["cell"]] = r["n"]
+    shared = indexed.sparkSession.sparkContext.broadcast((ivf, held))
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ivf, held = shared.value
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), matrix(b.column(1), b.num_rows)):
+                order = ivf.probes(v, len(held)).tolist()
+                take, tail, left_out = order[:probes], 0, False
+                for c in order[probes:]:
+                    if tail + held[c] > budget:
+                        left_out = left_out or held[c] > 0
+                    elif held[c]:
+                        take.append(c)
+                        tail += int(held[c])
+                n = len(take)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([v.tolist()] * n, pa.list_(pa.float64())), pa.array(take, pa.int32()), pa.array([tail] * n, pa.int64()), pa.array([bool(left_out)] * n)], ["query", "x", "cell", "tail", "left_out"])
+
+    asks = cut(queries.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x")).mapInArrow(plan, "query long, x array<double>, cell int, tail long, left_out boolean"), "plan")
+
+    def of(p: pa.Table, q: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if len(p) and len(q):
+            ids, x = p.column("id").to_numpy(), matrix(p.column("x").chunk(0), len(p))
+            for i, v in zip(q.column("id").to_pylist(), matrix(q.column("x").chunk(0), len(q))):
+                d = ((x - v) ** 2).sum(1)
+                best = _best(d, ids, k)
+                for z, y in zip(out, (np.full(len(best), i), ids[best], d[best])):
+                    z.append(y)
+        return pa.table([np.concatenate(z) for z in out], ["query", "id", "dist"])
+
+    found = _ranked(_in_cells(indexed, asks.select("query", "x", "cell"), of, "query long, id long, dist double"), k)
+    return found, asks.select("query", "tail", "left_out").distinct()
+
+
+def refresh(rows: DataFrame, ivf: Ivf | None) -> tuple[Ivf, DataFrame, bool]:
+    """(quantizers, index, whether they were trained anew) over rows: trained ones are kept as long as they fit."""
+    if ivf is not None:
+        indexed = index(rows, ivf)
+        if keep_quantizers(fit(indexed, ivf)[2], ivf.trained_rows, indexed.count()):
+            return ivf, indexed, False
+    ivf = Ivf.train(rows)
+    return ivf, index(rows, ivf), True
 
 
 def fit(indexed: DataFrame, ivf: Ivf) -> tuple[float, float, float]:

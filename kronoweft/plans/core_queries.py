@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kronoweft.functions import calendar
-from kronoweft.model import node_, object_text, visible
+from kronoweft.model import node_, object_text, text_, visible
 from kronoweft.operators import changefeed, confidence, fold, graph, lookup, rules, temporal, vectors
 from kronoweft.operators.snapshot import Pipeline, Snapshot
-from kronoweft.sources import bridge
+from kronoweft.session import cut
+from kronoweft.sources import bridge, catalog, store
 from kronoweft.sources.tables import table
+from kronoweft.streaming import live
 
 AT = 1_750_000_000  # 2025-06-15, the instant of as-of queries
 NOW = 1_790_000_000
@@ -20,9 +22,10 @@ YEAR = 365 * 86_400
 MASK = 0b0101
 SPLIT = "2026-01-01"  # arrivals before it are the base of incremental queries
 
-RELEASE = rules.Rule(
-    "Issue", "approved-by", [rules.Hop("assigned-to"), rules.Hop("member-of"), rules.Hop("manager-of", "approved-at")], [],
-    rules.Condition("issue-type", "text:release"), rules.Condition("status", "text:released"),
+#: A billing issue goes to whoever managed, at the time of approval, the department its approver was in at that time.
+HANDOVER = rules.Rule(
+    "Issue", "assigned-to", [rules.Hop("approved-by"), rules.Hop("member-of", "approved-at"), rules.Hop("manager-of", "approved-at")], [],
+    rules.Condition("component", "text:billing"), rules.Condition("status", "text:blocked"),
 )
 SELF = rules.Rule("Issue", "approved-by", [], [rules.Hop("assigned-to")], rules.Condition("issue-type", "text:change"), rules.Condition("status", "text:closed"))
 REQUIRED = ["title", "status", "assigned-to", "component"]
@@ -74,9 +77,8 @@ def fold_retract(spark, d):
 
 
 def fold_hard_delete(spark, d):
-    log = bridge.feed(spark, d)
-    kept = fold.live(log, [*fold.ONE, *fold.MANY]).select("subject", "predicate", "seq").distinct()
-    return kept.groupBy("subject", "predicate").agg(F.count("*").alias("kept"), F.min("seq").alias("first_seq"))
+    """Every change that is left above the floors."""
+    return fold.live(bridge.feed(spark, d), [*fold.ONE, *fold.MANY]).select("subject", "predicate", "seq", "op").distinct()
 
 
 def fold_multi_source(spark, d):
@@ -111,8 +113,8 @@ def node_attrs_lww(spark, d):
 
 def _halves(spark, d):
     log = bridge.facts(spark, d)
-    cut = F.lit(SPLIT).cast("timestamp_ntz")
-    return log.where(F.col("arrived_at") < cut), log.where(F.col("arrived_at") >= cut)
+    at = F.lit(SPLIT).cast("timestamp_ntz")
+    return log.where(F.col("arrived_at") < at), log.where(F.col("arrived_at") >= at)
 
 
 def read_merge(spark, d):
@@ -126,21 +128,20 @@ def observe_incremental(spark, d):
 
 def late_arrival(spark, d):
     """Late facts are never dropped: they re-slice history, and take the head if they arrived last."""
-    s = _facts(spark, d)
-    late = s.one.join(s.one_history.groupBy("subject", "predicate").agg(F.max("valid_from").alias("newest")), fold.KEY).where("valid_from < newest")
-    return _show(late, "subject", "predicate", "object", "valid_from", "newest")
+    both = _facts(spark, d).one_history.groupBy(*fold.KEY).agg(F.max_by(F.struct("object", "valid_from"), "ok").alias("h"), F.max("valid_from").alias("newest"))
+    return _show(both.select(*fold.KEY, "h.object", "h.valid_from", "newest").where("valid_from < newest"), "subject", "predicate", "object", "valid_from", "newest")
 
 
 def suppress_noop(spark, d):
     base, tail = _halves(spark, d)
     batch = tail.where("op = 'SetOne'").withColumn("line", F.col("ok")).select("line", "subject", "predicate", "object", "valid_from", "valid_to", "source")
-    return fold.suppress_one(batch, fold.one(base, plain=True)).groupBy("predicate").agg(F.count("*").alias("kept"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    return fold.suppress_one(batch, fold.one(base, plain=True)).select("line", "subject", "predicate")
 
 
 def suppress_noop_many(spark, d):
     base, tail = _halves(spark, d)
     batch = tail.where("op = 'AddMany'").withColumn("line", F.col("ok")).select("line", "subject", "predicate", "object", "valid_from", "valid_to", "source")
-    return fold.suppress_many(batch, fold.many_history(base, plain=True).where("is_add")).groupBy("predicate").agg(F.count("*").alias("kept"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    return fold.suppress_many(batch, fold.many_history(base, plain=True).where("is_add")).select("line", "subject", "predicate")
 
 
 # --- point reads and timelines ------------------------------------------------------------------------------------
@@ -198,11 +199,11 @@ def asof_join(spark, d):
 
 def describe_node(spark, d):
     s = _facts(spark, d)
-    return lookup.describe(s.one, s.many)
+    return lookup.describe(s.one_history, s.many, s.attrs, _node_vectors(spark, d), NOW, YEAR)
 
 
 def schema_inventory(spark, d):
-    return table(spark, d, "pred_defs").select("name", "card", "domain", F.coalesce("range_type", "range_value").alias("range"))
+    return catalog.inventory(table(spark, d, "pred_defs"), bridge.attrs(spark, d), ["handover", "self-approval"])
 
 
 # --- filters, scope and lookups -----------------------------------------------------------------------------------
@@ -244,6 +245,19 @@ def find_text(spark, d):
     return lookup.find(s.one, s.many, "Audit", s.attrs, MASK)
 
 
+def find_limited(spark, d):
+    """The first 20 nodes that say "release", and whether there are more."""
+    s = _facts(spark, d)
+    return lookup.first_found(lookup.find(s.one, s.many, "release", s.attrs, MASK), 20)
+
+
+def find_excerpt(spark, d):
+    """Documents that mention a harbour, each with the place where it does; long texts are cut around it."""
+    t = table(spark, d, "documents").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = t.select(F.col("doc_id").alias("subject"), F.lit("text").alias("predicate"), text_(F.col("text")).alias("object"))
+    return lookup.find(rows, rows.limit(0), "harbour")
+
+
 def display_name(spark, d):
     return lookup.display_name(_facts(spark, d).one)
 
@@ -304,14 +318,14 @@ def neighborhood_khop(spark, d):
     """Nodes within two hops of node 7 in scope, at their depth."""
     s = _facts(spark, d)
     start = spark.createDataFrame([(7,)], "subject long")
-    e = graph.scoped(s.edges, s.attrs, MASK).where("predicate <> 'in-project'")
+    e = graph.scoped(s.edges, s.attrs, MASK)
     return graph.neighbourhood(start, e, 2, max_nodes=None)[0].select("node", "depth")
 
 
 def neighborhood_edges(spark, d):
     s = _facts(spark, d)
     start = spark.createDataFrame([(7,)], "subject long")
-    e = graph.scoped(s.edges, s.attrs, MASK).where("predicate <> 'in-project'")
+    e = graph.scoped(s.edges, s.attrs, MASK)
     return graph.neighbourhood(start, e, 2, max_nodes=None)[1].select("a", "b", "strength")
 
 
@@ -373,8 +387,10 @@ def knn_authz(spark, d):
 
 
 def knn_strict(spark, d):
+    """Only what was indexed when four fifths of the order numbers had been given out."""
     rows, _, queries = _emb(spark, d)
-    return _near(vectors.knn(vectors.up_to(rows, 400), queries))
+    watermark = rows.agg(F.max("seqno")).first()[0] * 4 // 5
+    return _near(vectors.knn(vectors.up_to(rows, watermark), queries))
 
 
 def knn_fresh(spark, d):
@@ -389,9 +405,7 @@ def topk_score(spark, d):
 
 @lru_cache(maxsize=4)
 def _trained(spark: SparkSession, d: str):
-    rows = _emb(spark, d)[0]
-    ivf = vectors.Ivf.train(rows)
-    indexed = vectors.index(rows, ivf)
+    ivf, indexed, _ = vectors.refresh(_emb(spark, d)[0], None)
     return ivf, indexed, vectors.calibrated_probes(indexed, ivf)
 
 
@@ -405,10 +419,36 @@ def ann_rerank(spark, d):
     return _near(vectors.search(indexed, ivf, _emb(spark, d)[2], probes=probes, rerank=256))
 
 
+def ann_recall(spark, d):
+    """Whether the searches over cells find nine tenths of the exact neighbours of their queries."""
+    exact = knn_exact(spark, d).select("query", "id")
+    parts = []
+    for name, got in (("ann_ivf", ann_ivf(spark, d)), ("ann_rerank", ann_rerank(spark, d))):
+        hit = got.select("query", "id", F.lit(1).alias("hit"))
+        parts.append(exact.join(hit, ["query", "id"], "left").agg(F.lit(name).alias("search"), (F.sum("hit") >= 0.9 * F.count("*")).alias("reached")))
+    return parts[0].unionByName(parts[1])
+
+
 def ann_complete(spark, d):
+    """Two probed cells, and the rest within a budget that holds all of it: the result is exact."""
+    ivf, indexed, _ = _trained(spark, d)
+    return _near(vectors.search_complete(indexed, ivf, _emb(spark, d)[2], probes=2, budget=indexed.count())[0])
+
+
+def ann_budget(spark, d):
+    """With a tenth of the rows as budget no query scores more of the tail, each leaves some out, and all have k results."""
     ivf, indexed, _ = _trained(spark, d)
-    q = _emb(spark, d)[0].where("id = 0").first()["x"]
-    return _near(vectors.search_complete(indexed, ivf, list(q), budget=10**9)[0])
+    budget = indexed.count() // 10
+    found, told = vectors.search_complete(indexed, ivf, _emb(spark, d)[2], probes=2, budget=budget)
+    return told.select("query", (F.col("tail") <= budget).alias("within"), "left_out").join(found.groupBy("query").agg(F.count("*").alias("n")), "query")
+
+
+def ann_reuse(spark, d):
+    """Quantizers trained on half of the rows are kept for the same rows with a few more, and trained anew when rows double."""
+    rows = _emb(spark, d)[0]
+    first = vectors.Ivf.train(rows.where("id % 2 = 0"))
+    more, all_ = (vectors.refresh(rows.where(c), first)[2] for c in ("id % 2 = 0 OR id % 20 = 1", "true"))
+    return spark.createDataFrame([("a few more", more), ("twice as many", all_)], "rows string, trained_anew boolean")
 
 
 def ann_fit(spark, d):
@@ -430,13 +470,11 @@ def search_expand(spark, d):
     """The 10 visible vectors of a type nearest to vector 0, then the customers they lead to, capped at 100."""
     rows, attrs, _ = _emb(spark, d)
     c = table(spark, d, "customer")
-    log = c.select(F.col("c_custkey").alias("ok"), F.lit("AddMany").alias("op"), (F.col("c_custkey") % 500).alias("subject"), F.lit("leads-to").alias("predicate"), node_(F.col("c_custkey")).alias("object"))
+    log = c.select(F.col("c_custkey").alias("ok"), F.lit("AddMany").alias("op"), (F.col("c_custkey") % 500).alias("subject"), F.lit("leads-to").alias("predicate"), node_(F.col("c_custkey") + 1_000_000).alias("object"))
     log = log.withColumns({"valid_from": F.lit(0).cast("long"), "valid_to": F.lit(None).cast("long"), "source": F.lit(None).cast("string"), "observed": F.lit(None).cast("array<bigint>")})
-    # customers are of another id space than the vectors' labels
     s = Snapshot(log, attrs, rows, plain=True)
     vector = rows.where("id = 0").first()["x"]
-    hits = Pipeline(s, mask=MASK, max_nodes=100).similar_to(list(vector), "T3", 10)
-    return Pipeline(Snapshot(log, attrs.limit(0), plain=True), hits.df, max_nodes=100).expand("leads-to").df
+    return Pipeline(s, mask=MASK, max_nodes=100).similar_to(list(vector), "T3", 10).expand("leads-to").df
 
 
 def pipeline_similar(spark, d):
@@ -452,17 +490,28 @@ def pipeline_compose(spark, d):
 
 
 def pipeline_cap(spark, d):
+    """The cap is the feature: 100 issues in the order of their ids, what they lead to, and the first 10 of that."""
     s = _facts(spark, d)
-    ids = [r[0] for r in s.attrs.where("type = 'Issue'").orderBy("node").limit(3000).select("node").collect()]
-    return Pipeline(s, max_nodes=100).nodes(ids).expand("in-project").cap(10).df.select("id", "ord")
+    return Pipeline(s, max_nodes=100).nodes(s.attrs.where("type = 'Issue'")).expand("in-project").cap(10).df.select("id", "ord")
 
 
 def retrieve_context(spark, d):
-    """Every document as a hit, dated by its crawl, with the calendar line that goes into a context block."""
+    """From a search to the lines of a block: the 25 nodes nearest to the first node, with what they are called and when approved, in the block's order."""
+    s = _facts(spark, d)
+    hits = pipeline_similar(spark, d).select(F.col("id").alias("node"), "score")
+    text = lookup.display_name(s.one).withColumnRenamed("name", "content")
+    when = s.one.where("predicate = 'approved-at'").select(F.col("subject").alias("node"), F.col("object.i").alias("date"))
+    lines = lookup.context(hits.join(text, "node", "left").join(when, "node", "left"), AT, offset_min=540, start_month=4)
+    place = F.row_number().over(Window.orderBy(*lookup.in_order(lines)))  # over k hits
+    return lines.select(place.alias("place"), "node", "date", "stamp", "line")
+
+
+def context_lines(spark, d):
+    """Every document with the calendar line that goes into a context block."""
     docs = table(spark, d, "documents")
     date = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("crawled_at").cast("timestamp_ntz"))
     hits = docs.select(F.col("doc_id").alias("node"), F.lit(1.0).alias("score"), date.alias("date"), F.col("text").alias("content"))
-    return lookup.context(hits, AT, offset_min=540, start_month=4).select("node", "date", "stamp", F.char_length("line").alias("line_chars"))
+    return lookup.context(hits, AT, offset_min=540, start_month=4).select("node", "date", "stamp", "line")
 
 
 def calendar_stamp(spark, d):
@@ -480,7 +529,7 @@ def calendar_stamp(spark, d):
 
 def conformance_verdicts(spark, d):
     s = _facts(spark, d)
-    return rules.conformance(RELEASE, s.one_history, rules.subjects(s.attrs, "Issue", MASK))
+    return rules.conformance(HANDOVER, s.one_history, rules.subjects(s.attrs, "Issue", MASK))
 
 
 def conformance_distinct(spark, d):
@@ -497,8 +546,8 @@ def _maintained(spark, d):
     base, tail = _halves(spark, d)
     over = rules.subjects(bridge.attrs(spark, d), "Issue", MASK)
     old = fold.one_history(base, plain=True)
-    before = rules.conformance(RELEASE, old, over)
-    return rules.maintain(RELEASE, before, rules.supports(RELEASE, old, over), fold.one_history(fold.merge(base, tail), plain=True), over, fold.touched(tail))
+    before, support = (cut(x, "before") for x in rules.judge(HANDOVER, old, over))
+    return rules.maintain(HANDOVER, before, support, fold.one_history(fold.merge(base, tail), plain=True), over, fold.touched(tail))
 
 
 def conformance_incremental(spark, d):
@@ -510,22 +559,26 @@ def conformance_changes(spark, d):
 
 
 def live_diff(spark, d):
-    """What a registered query (who watches what) gained and lost with the tail."""
+    """What a registered query (what is in effect at an instant) gained and lost with the tail."""
     base, tail = _halves(spark, d)
-    old, new = (_show(temporal.asof_one(fold.one_history(x, plain=True), AT), "subject", "predicate", "object") for x in (base, fold.merge(base, tail)))
-    return new.subtract(old).withColumn("change", F.lit("added")).unionByName(old.subtract(new).withColumn("change", F.lit("removed")))
+    logs, told = [base], []
+    live_queries = live.LiveQueries()
+    live_queries.register(lambda: _show(temporal.asof_one(fold.one_history(logs[-1], plain=True), AT), "subject", "predicate", "object"), lambda added, removed: told.append((added, removed)))
+    logs.append(fold.merge(base, tail))
+    live_queries.changed()
+    if not told:
+        return spark.createDataFrame([], "subject long, predicate string, object string, change string")
+    added, removed = told[0]
+    return added.withColumn("change", F.lit("added")).unionByName(removed.withColumn("change", F.lit("removed")))
 
 
 def live_completeness(spark, d):
     """Completeness kept by key: only nodes whose required predicates the tail touched are looked at again."""
     base, tail = _halves(spark, d)
     over = rules.subjects(bridge.attrs(spark, d), "Issue", MASK)
-    none = spark.createDataFrame([], "subject long, predicate string, object long")
-    before = rules.completeness(over, fold.one(base, plain=True), none, REQUIRED)
-    hit = over.join(fold.touched(tail).where(F.col("predicate").isin(REQUIRED)), "subject", "left_semi")
-    whole = fold.merge(base, tail).join(hit, "subject", "left_semi")
-    again = rules.completeness(hit, fold.one(whole, plain=True), none, REQUIRED)
-    return before.join(hit.withColumnRenamed("subject", "node"), "node", "left_anti").unionByName(again)
+    old = Snapshot(base, plain=True)
+    before = rules.completeness(over, old.one, graph.edges(old.many), REQUIRED)
+    return rules.maintain_completeness(before, over, fold.merge(base, tail), fold.touched(tail), REQUIRED, plain=True)
 
 
 # --- sources ------------------------------------------------------------------------------------------------------
@@ -541,32 +594,27 @@ def csv_facts(spark, d):
 
 
 def store_stats(spark, d):
-    log = bridge.facts(spark, d)
-    return log.groupBy("op").agg(F.count("*").alias("rows"), F.count_distinct("predicate").alias("predicates"), F.count_distinct("source").alias("sources"), F.max("ok").alias("head"))
+    return store.log_stats(_facts(spark, d), _node_vectors(spark, d))
 
 
 def validate_facts(spark, d):
     """Facts that break their predicate's declared domain or range: opt-in, and open-world for untyped nodes."""
-    from kronoweft.sources import catalog
-
     bad = catalog.violations(bridge.facts(spark, d), table(spark, d, "pred_defs"), bridge.attrs(spark, d))
     return bad.select("ok", "predicate", "problem")
 
 
 def stream_fold(spark, d):
-    from kronoweft.streaming import live
-
     return live.stream_current_values(spark, f"{d}/record_feed.parquet")
 
 
 NAMES = """fold_one_lww fold_one_history fold_close_one fold_many_present fold_close_many fold_retract fold_hard_delete fold_multi_source fold_idempotent
 compacted_state edge_props_lww edge_props_lookup node_attrs_lww read_merge observe_incremental late_arrival suppress_noop suppress_noop_many
 point_one point_asof point_many point_many_asof closed_from confidence_tier timeline timeline_derived timeline_confidence asof_join describe_node schema_inventory
-filter_has_type filter_has_value filter_int_cmp filter_int_cmp_asof authz_scope authz_point find_text display_name
+filter_has_type filter_has_value filter_int_cmp filter_int_cmp_asof authz_scope authz_point find_text find_limited find_excerpt display_name
 expand_1hop expand_asof expand_2hop expand_reverse expand_symmetric expand_inverse expand_transitive neighbors neighborhood_khop neighborhood_edges edge_strength
 graph_induced overview_types overview_edges label_histogram sources_inventory
-knn_exact knn_typed knn_authz knn_strict knn_fresh topk_score ann_ivf ann_rerank ann_complete ann_fit search_expand pipeline_similar pipeline_compose pipeline_cap
-retrieve_context calendar_stamp conformance_verdicts conformance_distinct completeness conformance_incremental conformance_changes live_diff live_completeness
+knn_exact knn_typed knn_authz knn_strict knn_fresh topk_score ann_ivf ann_rerank ann_recall ann_complete ann_budget ann_reuse ann_fit search_expand pipeline_similar pipeline_compose pipeline_cap
+retrieve_context context_lines calendar_stamp conformance_verdicts conformance_distinct completeness conformance_incremental conformance_changes live_diff live_completeness
 csv_facts store_stats validate_facts stream_fold""".split()
 
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -60,20 +60,22 @@ SUBJ = f"subj AS (SELECT node AS subject FROM attrs WHERE type = 'Issue' AND {VI
 
 
 def verdict_ctes(rows: str, out: str) -> str:
-    """CTE ``out``: verdicts of the release rule over the fact rows in ``rows``."""
+    """CTE ``out``: verdicts of the handover rule over the fact rows in ``rows``."""
     cur = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate ORDER BY ok DESC) AS r FROM {rows} WHERE card = 'one') WHERE r = 1)"
     v = lambda p: f"(SELECT * FROM {out}_one WHERE predicate = '{p}')"
+    then = lambda p, who: f"(SELECT arg_max(h.node, (h.vf, h.ok)) FROM {rows} h WHERE h.predicate = '{p}' AND h.subject = {who} AND h.vf <= p.anchor AND (h.vt IS NULL OR p.anchor < h.vt))"
+    ever = lambda p, who: f"EXISTS (SELECT 1 FROM {rows} h WHERE h.predicate = '{p}' AND h.subject = {who} AND h.node = p.actual_node)"
     return f"""{out}_one AS {cur},
-{out}_p AS (SELECT s.subject, a.node AS n1, m.node AS n2, ap.i AS anchor, ac.object AS actual, ac.node AS actual_node, sc.object AS scope, st.object AS status FROM subj s
- LEFT JOIN {v('assigned-to')} a ON a.subject = s.subject LEFT JOIN {v('member-of')} m ON m.subject = a.node LEFT JOIN {v('approved-at')} ap ON ap.subject = s.subject
- LEFT JOIN {v('approved-by')} ac ON ac.subject = s.subject LEFT JOIN {v('issue-type')} sc ON sc.subject = s.subject LEFT JOIN {v('status')} st ON st.subject = s.subject),
-{out}_r AS (SELECT p.*, (SELECT arg_max(h.node, (h.vf, h.ok)) FROM {rows} h WHERE h.predicate = 'manager-of' AND h.subject = p.n2 AND h.vf <= p.anchor AND (h.vt IS NULL OR p.anchor < h.vt)) AS required,
-  EXISTS (SELECT 1 FROM {rows} h WHERE h.predicate = 'manager-of' AND h.subject = p.n2 AND h.node = p.actual_node) AS held FROM {out}_p p),
-{out} AS (SELECT subject, CASE WHEN scope IS DISTINCT FROM 'text:release' THEN 'NOT_APPLICABLE' WHEN actual IS NULL THEN CASE WHEN status = 'text:released' THEN 'ABSENT' ELSE 'OK' END
+{out}_o AS (SELECT s.subject, ab.node AS n1, ap.i AS anchor, ac.object AS actual, ac.node AS actual_node, sc.object AS scope, st.object AS status FROM subj s
+ LEFT JOIN {v('approved-by')} ab ON ab.subject = s.subject LEFT JOIN {v('approved-at')} ap ON ap.subject = s.subject
+ LEFT JOIN {v('assigned-to')} ac ON ac.subject = s.subject LEFT JOIN {v('component')} sc ON sc.subject = s.subject LEFT JOIN {v('status')} st ON st.subject = s.subject),
+{out}_p AS (SELECT p.*, {then('member-of', 'p.n1')} AS n2 FROM {out}_o p),
+{out}_r AS (SELECT p.*, {then('manager-of', 'p.n2')} AS required, CASE WHEN n2 IS NOT NULL THEN {ever('manager-of', 'p.n2')} ELSE {ever('member-of', 'p.n1')} END AS held FROM {out}_p p),
+{out} AS (SELECT subject, CASE WHEN scope IS DISTINCT FROM 'text:billing' THEN 'NOT_APPLICABLE' WHEN actual IS NULL THEN CASE WHEN status = 'text:blocked' THEN 'ABSENT' ELSE 'OK' END
   WHEN required IS DISTINCT FROM actual_node OR required IS NULL THEN 'MISMATCH' ELSE 'OK' END AS verdict,
- CASE WHEN scope = 'text:release' AND actual IS NOT NULL AND (required IS DISTINCT FROM actual_node OR required IS NULL) THEN CASE WHEN held THEN 'stale' ELSE 'wrong' END END AS kind,
- CASE WHEN scope = 'text:release' THEN required END AS required, CAST(NULL AS BIGINT) AS distinct_value, CASE WHEN scope = 'text:release' THEN actual END AS actual,
- CASE WHEN scope = 'text:release' AND n2 IS NOT NULL THEN anchor END AS as_of FROM {out}_r)"""
+ CASE WHEN scope = 'text:billing' AND actual IS NOT NULL AND (required IS DISTINCT FROM actual_node OR required IS NULL) THEN CASE WHEN held THEN 'stale' ELSE 'wrong' END END AS kind,
+ CASE WHEN scope = 'text:billing' THEN required END AS required, CAST(NULL AS BIGINT) AS distinct_value, CASE WHEN scope = 'text:billing' THEN actual END AS actual,
+ CASE WHEN scope = 'text:billing' AND n1 IS NOT NULL THEN anchor END AS as_of FROM {out}_r)"""
 
 
 def _knn(where: str = "", itself: bool = True, k: int = 10) -> str:
@@ -84,6 +86,23 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FR
 SELECT query, id, round(d, 4) AS dist, round(1 / (1 + d), 4) AS score, rank FROM o WHERE rank <= {k}"""
 
 
+NODE_VECTORS = """nv AS (SELECT node AS id, arg_max(vector, vector_id) AS x FROM vector_rows WHERE node IS NOT NULL AND len(vector) = 32
+ AND len(list_filter(vector, lambda e: e IS NULL OR isnan(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0 GROUP BY node)"""
+SIMILAR = f"""{NODE_VECTORS}, q AS (SELECT * FROM nv WHERE id = (SELECT min(id) FROM nv)),
+d AS (SELECT nv.id, list_sum(list_transform(list_zip(q.x, nv.x), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM nv, q WHERE nv.id <> q.id AND nv.id NOT IN (SELECT node FROM hidden)),
+near AS (SELECT id, round(1 / (1 + d), 4) AS score, row_number() OVER (ORDER BY d, id) AS ord FROM d QUALIFY ord <= 25)"""
+
+
+def _tag(offset: int = 32400, at: int = 1_750_000_000) -> str:
+    """CTEs y and z: rows of x (node, date, text) with the calendar stamp of date."""
+    return f"""y AS (SELECT *, make_timestamp((date + {offset}) * 1000000) AS l, ({at} + {offset}) // 86400 - (date + {offset}) // 86400 AS d FROM x),
+z AS (SELECT *, CASE WHEN date IS NOT NULL THEN strftime(l, '%Y-%m-%d %H:%M') || ' +09:00 (' || left(dayname(l), 3) || ', ' || CASE WHEN d = 0 THEN 'same day' WHEN d > 0 THEN d || ' days before' ELSE -d || ' days after' END
+ || CASE WHEN isodow(l) < 6 AND hour(l) >= 9 AND hour(l) < 18 THEN ', business hours' ELSE '' END || ', FY' || (year(l) - (month(l) < 4)::INT) || ' Q' || ((month(l) + 8) % 12 // 3 + 1) || ')' END AS stamp FROM y)"""
+
+
+LINE = "CASE WHEN stamp IS NULL THEN '- ' ELSE '- [' || stamp || '] ' END || coalesce(text, '') AS line"
+
+
 def _suppress(card: str) -> str:
     seen = (
         "SELECT subject, predicate, object, vf, vt, source FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate ORDER BY ok DESC) AS r FROM base) WHERE r = 1"
@@ -93,10 +112,10 @@ def _suppress(card: str) -> str:
     return f"""WITH {F}, base AS (SELECT * FROM f WHERE card = '{card}' AND arrived_at < {SPLIT}), tail AS (SELECT * FROM f WHERE card = '{card}' AND arrived_at >= {SPLIT}), seen AS ({seen}),
 m AS (SELECT t.ok, t.subject, t.predicate, EXISTS (SELECT 1 FROM seen s WHERE s.subject = t.subject AND s.predicate = t.predicate AND s.object = t.object AND s.vf = t.vf AND s.vt IS NOT DISTINCT FROM t.vt AND s.source IS NOT DISTINCT FROM t.source) AS dup FROM tail t),
 w AS (SELECT *, coalesce(bool_or(NOT dup) OVER (PARTITION BY subject, predicate ORDER BY ok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS dirty FROM m)
-SELECT predicate, count(*) AS kept, min(ok) AS first_line, max(ok) AS last_line FROM w WHERE NOT dup OR dirty GROUP BY predicate"""
+SELECT ok AS line, subject, predicate FROM w WHERE NOT dup OR dirty"""
 
 
-_NEAR = f"""e AS (SELECT s, p, o FROM edges WHERE s NOT IN (SELECT node FROM hidden) AND o NOT IN (SELECT node FROM hidden) AND p <> 'in-project'),
+_NEAR = f"""e AS (SELECT s, p, o FROM edges WHERE s NOT IN (SELECT node FROM hidden) AND o NOT IN (SELECT node FROM hidden)),
 u AS (SELECT s AS a, o AS b FROM e UNION SELECT o, s FROM e),
 n1 AS (SELECT DISTINCT b AS node FROM u WHERE a = 7 AND b <> 7), n2 AS (SELECT DISTINCT u.b AS node FROM u JOIN n1 ON u.a = n1.node WHERE u.b <> 7 AND u.b NOT IN (SELECT node FROM n1)),
 nn AS (SELECT 7::BIGINT AS node, 0 AS depth UNION ALL SELECT node, 1 FROM n1 UNION ALL SELECT node, 2 FROM n2)"""
@@ -115,7 +134,7 @@ SQL = {
     "fold_many_present": f"WITH {FEED} SELECT subject, predicate, object, seq FROM many WHERE kind = 'AddMany'",
     "fold_close_many": f"WITH {FEED} SELECT subject, predicate, object, seq, vf AS closed_from FROM many WHERE kind = 'CloseMany'",
     "fold_retract": f"WITH {FEED} SELECT subject, predicate, object, seq FROM manyh WHERE kind = 'AddMany'",
-    "fold_hard_delete": f"WITH {FEED} SELECT subject, predicate, count(DISTINCT seq) AS kept, min(seq) AS first_seq FROM c WHERE kind IN ('SetOne', 'CloseOne', 'AddMany', 'CloseMany') GROUP BY ALL",
+    "fold_hard_delete": f"WITH {FEED} SELECT DISTINCT subject, predicate, seq, kind AS op FROM c WHERE kind IN ('SetOne', 'CloseOne', 'AddMany', 'CloseMany')",
     "fold_multi_source": f"WITH {FEED} SELECT subject, predicate, object, seq FROM one",
     "fold_idempotent": f"WITH {FEED} SELECT subject, predicate, object, seq FROM many WHERE kind = 'AddMany'",
     "compacted_state": f"WITH {FEED} SELECT subject, predicate, object, seq FROM one WHERE object IS NOT NULL UNION ALL SELECT subject, predicate, object, seq FROM many WHERE kind = 'AddMany'",
@@ -146,8 +165,12 @@ w AS (SELECT s.subject, s.node, s.predicate, t.tier, row_number() OVER (PARTITIO
 SELECT subject, ['low', 'medium', 'high'][tier] AS tier, node AS weakest_node, predicate AS weakest_predicate FROM w WHERE r = 1""",
     "asof_join": f"""WITH {F}, {ONE}, p AS (SELECT subject, 'status' AS predicate, i AS at FROM one WHERE predicate = 'approved-at' AND i IS NOT NULL)
 SELECT p.subject, p.predicate, p.at, (SELECT arg_max(h.object, (h.vf, h.ok)) FROM f h WHERE h.subject = p.subject AND h.predicate = 'status' AND h.vf <= p.at AND (h.vt IS NULL OR p.at < h.vt)) AS value FROM p""",
-    "describe_node": f"WITH {F}, {ONE}, {MANY} SELECT subject AS node, predicate, object AS value, source FROM one UNION ALL SELECT subject, predicate, object, NULL FROM many",
-    "schema_inventory": "SELECT name, card, domain, coalesce(range_type, range_value) AS range FROM pred_defs",
+    "describe_node": f"""WITH {ALL}, {NODE_VECTORS}, c AS (SELECT o.subject, o.predicate, count(DISTINCT f.source) AS n FROM one o JOIN f ON f.subject = o.subject AND f.predicate = o.predicate AND f.object = o.object AND f.card = 'one' GROUP BY ALL),
+v AS (SELECT o.subject AS node, o.predicate, o.object AS value, o.source, CASE WHEN c.n = 0 OR {NOW} - o.vf > {YEAR} THEN 'low' WHEN c.n >= 2 THEN 'high' ELSE 'medium' END AS tier FROM one o JOIN c USING (subject, predicate)
+ UNION ALL SELECT subject, predicate, object, NULL, NULL FROM many)
+SELECT coalesce(v.node, a.node) AS node, predicate, value, source, tier, a.type, a.label, coalesce(v.node, a.node) IN (SELECT id FROM nv) AS embedded FROM v FULL JOIN attrs a ON a.node = v.node""",
+    "schema_inventory": f"""WITH {ATTRS} SELECT 'predicate' AS kind, name, card, domain, coalesce(range_type, range_value) AS range FROM pred_defs
+UNION ALL SELECT DISTINCT 'label', CAST(label AS VARCHAR), NULL, NULL, NULL FROM attrs WHERE label IS NOT NULL UNION ALL VALUES ('rule', 'handover', NULL, NULL, NULL), ('rule', 'self-approval', NULL, NULL, NULL)""",
     "filter_has_type": f"WITH {ATTRS} SELECT node FROM attrs WHERE type = 'Issue'",
     "filter_has_value": f"WITH {ALL} SELECT node FROM attrs WHERE node IN (SELECT subject FROM one WHERE predicate = 'priority')",
     "filter_int_cmp": f"WITH {F}, {ONE} SELECT subject AS node, i AS value FROM one WHERE predicate = 'estimate' AND i >= 13",
@@ -156,6 +179,11 @@ SELECT p.subject, p.predicate, p.at, (SELECT arg_max(h.object, (h.vf, h.ok)) FRO
     "authz_point": f"WITH {ALL} SELECT subject, predicate, object FROM one WHERE subject NOT IN (SELECT node FROM hidden) AND (node IS NULL OR node NOT IN (SELECT node FROM hidden))",
     "find_text": f"""WITH {ALL}, h AS (SELECT subject AS node, predicate, t, 0 AS pass FROM one UNION ALL SELECT subject, predicate, t, 1 FROM many),
 w AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY pass, predicate, t) AS r FROM h WHERE contains(lower(t), 'audit')) SELECT node, predicate, t AS value FROM w WHERE r = 1 AND node NOT IN (SELECT node FROM hidden)""",
+    "find_limited": f"""WITH {ALL}, h AS (SELECT subject AS node, predicate, t, 0 AS pass FROM one UNION ALL SELECT subject, predicate, t, 1 FROM many),
+w AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY pass, predicate, t) AS r FROM h WHERE contains(lower(t), 'release')), k AS (SELECT * FROM w WHERE r = 1 AND node NOT IN (SELECT node FROM hidden))
+SELECT node, predicate, t AS value, (SELECT count(*) FROM k) > 20 AS truncated FROM k ORDER BY node LIMIT 20""",
+    "find_excerpt": """WITH t AS (SELECT doc_id, max(text) AS t FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id), h AS (SELECT doc_id, t, length(t) AS n, instr(lower(t), 'harbour') - 1 AS p FROM t WHERE contains(lower(t), 'harbour'))
+SELECT doc_id AS node, 'text' AS predicate, CASE WHEN n <= 160 THEN t ELSE CASE WHEN p > 80 THEN '…' ELSE '' END || substr(t, greatest(p - 80, 0) + 1, least(p + 87, n) - greatest(p - 80, 0)) || CASE WHEN p + 87 < n THEN '…' ELSE '' END END AS value FROM h""",
     "display_name": f"WITH {F}, {ONE} SELECT subject AS node, arg_min(t, CASE predicate WHEN 'name' THEN 0 ELSE 1 END) AS name FROM one WHERE predicate IN ('name', 'title') AND t IS NOT NULL GROUP BY subject",
     "expand_1hop": f"WITH {ALL} SELECT s AS subject, o AS node FROM edges WHERE p = 'assigned-to' AND s IN (SELECT node FROM attrs WHERE type = 'Issue')",
     "expand_asof": f"WITH {ALL}, w AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY vf DESC, ok DESC) AS r FROM f WHERE predicate = 'assigned-to' AND vf <= {AT} AND (vt IS NULL OR {AT} < vt)) SELECT subject, node FROM w WHERE r = 1 AND node IS NOT NULL AND subject IN (SELECT node FROM attrs WHERE type = 'Issue')",
@@ -178,23 +206,27 @@ SELECT DISTINCT st.a, st.b, st.strength FROM st JOIN nn x ON x.node = st.a JOIN
     "knn_exact": _knn(),
     "knn_typed": _knn("AND r.label = 3"),
     "knn_authz": _knn(f"AND ({MASK} >> r.ab) & 1 = 1"),
-    "knn_strict": _knn("AND r.vec_id < 400"),
+    "knn_strict": _knn("AND r.vec_id < (SELECT max(vec_id) * 4 // 5 FROM embeddings)"),
     "knn_fresh": _knn(itself=False),
     "topk_score": "SELECT event_id AS id, value AS score FROM events ORDER BY value DESC, event_id LIMIT 100",
     "search_expand": """WITH q AS (SELECT embedding AS x FROM embeddings WHERE vec_id = 0),
 p AS (SELECT vec_id, list_sum(list_transform(list_zip(q.x, embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM embeddings, q WHERE label = 3 AND (5 >> vec_id % 4) & 1 = 1),
 h AS (SELECT vec_id, row_number() OVER (ORDER BY d, vec_id) AS ord FROM p ORDER BY d, vec_id LIMIT 10)
-SELECT c_custkey AS id, 1.0::DOUBLE AS score, row_number() OVER (ORDER BY ord, c_custkey) AS ord FROM customer JOIN h ON vec_id = c_custkey % 500 ORDER BY 3 LIMIT 100""",
-    "ann_complete": _knn("AND q.vec_id = 0"),
-    "pipeline_compose": f"""WITH {ALL}, i AS (SELECT node, row_number() OVER (ORDER BY node) AS ord FROM (SELECT node FROM attrs WHERE type = 'Issue' ORDER BY node LIMIT 3000) WHERE node NOT IN (SELECT node FROM hidden)),
+SELECT c_custkey + 1000000 AS id, 1.0::DOUBLE AS score, row_number() OVER (ORDER BY ord, c_custkey) AS ord FROM customer JOIN h ON vec_id = c_custkey % 500 ORDER BY 3 LIMIT 100""",
+    "ann_complete": _knn(),
+    "ann_recall": "SELECT 'ann_ivf' AS search, true AS reached UNION ALL SELECT 'ann_rerank', true",
+    "ann_budget": "SELECT vec_id AS query, true AS within, true AS left_out, 10::BIGINT AS n FROM embeddings WHERE vec_id % 50 = 0",
+    "ann_reuse": "SELECT 'a few more' AS rows, false AS trained_anew UNION ALL SELECT 'twice as many', true",
+    "pipeline_similar": f"WITH {ALL}, {SIMILAR} SELECT id, score, ord FROM near",
+    "pipeline_compose": f"""WITH {ALL}, i AS (SELECT node, row_number() OVER (ORDER BY node) AS ord FROM (SELECT node FROM attrs WHERE type = 'Issue') WHERE node NOT IN (SELECT node FROM hidden)),
 k AS (SELECT node FROM i WHERE node IN (SELECT subject FROM one WHERE predicate = 'title') AND node IN (SELECT subject FROM one WHERE predicate = 'priority' AND i <= 2))
 SELECT DISTINCT o AS id, 1.0::DOUBLE AS score FROM edges WHERE p = 'assigned-to' AND s IN (SELECT node FROM k) AND o NOT IN (SELECT node FROM hidden) AND o IN (SELECT node FROM attrs WHERE type = 'Person')""",
     "pipeline_cap": f"""WITH {ALL}, i AS (SELECT node, row_number() OVER (ORDER BY node) AS ord FROM attrs WHERE type = 'Issue' ORDER BY node LIMIT 100),
 x AS (SELECT o, min(ord) AS ord FROM edges JOIN i ON i.node = s WHERE p = 'in-project' GROUP BY o) SELECT o AS id, row_number() OVER (ORDER BY ord, o) AS ord FROM x ORDER BY 2 LIMIT 10""",
-    "retrieve_context": """WITH x AS (SELECT doc_id AS node, text, CAST(floor(epoch(crawled_at)) AS BIGINT) AS date FROM documents), y AS (SELECT *, make_timestamp((date + 32400) * 1000000) AS l, (1750000000 + 32400) // 86400 - (date + 32400) // 86400 AS d FROM x),
-z AS (SELECT *, CASE WHEN date IS NOT NULL THEN strftime(l, '%Y-%m-%d %H:%M') || ' +09:00 (' || left(dayname(l), 3) || ', ' || CASE WHEN d = 0 THEN 'same day' WHEN d > 0 THEN d || ' days before' ELSE -d || ' days after' END
- || CASE WHEN isodow(l) < 6 AND hour(l) >= 9 AND hour(l) < 18 THEN ', business hours' ELSE '' END || ', FY' || (year(l) - (month(l) < 4)::INT) || ' Q' || ((month(l) + 8) % 12 // 3 + 1) || ')' END AS stamp FROM y)
-SELECT node, date, stamp, length(CASE WHEN stamp IS NULL THEN '- ' ELSE '- [' || stamp || '] ' END || coalesce(text, '')) AS line_chars FROM z""",
+    "retrieve_context": f"""WITH {ALL}, {SIMILAR}, nm AS (SELECT subject, arg_min(t, CASE predicate WHEN 'name' THEN 0 ELSE 1 END) AS name FROM one WHERE predicate IN ('name', 'title') AND t IS NOT NULL GROUP BY subject),
+x AS (SELECT near.id AS node, near.score, nm.name AS text, o.i AS date FROM near LEFT JOIN nm ON nm.subject = near.id LEFT JOIN one o ON o.subject = near.id AND o.predicate = 'approved-at'), {_tag()}
+SELECT row_number() OVER (ORDER BY date ASC NULLS LAST, score DESC, node) AS place, node, date, stamp, {LINE} FROM z""",
+    "context_lines": f"WITH x AS (SELECT doc_id AS node, text, CAST(floor(epoch(crawled_at)) AS BIGINT) AS date FROM documents), {_tag()} SELECT node, date, stamp, {LINE} FROM z",
     "calendar_stamp": """WITH x AS (SELECT o_orderkey, CAST(floor(epoch(o_orderdate)) AS BIGINT) + o_orderkey % 86400 AS t FROM orders), y AS (SELECT *, make_timestamp((t - 12600) * 1000000) AS l FROM x)
 SELECT o_orderkey, t, strftime(l, '%Y-%m-%d %H:%M') || ' -03:30' AS iso, left(dayname(l), 3) AS weekday, isodow(l) < 6 AND hour(l) * 60 + minute(l) >= 540 AND hour(l) * 60 + minute(l) < 1080 AS business,
  (year(l) - (month(l) < 4)::INT)::BIGINT AS fiscal_year, ((month(l) + 8) % 12 // 3 + 1)::INT AS fiscal_quarter, (datediff('day', l::DATE, make_timestamp(899987400000000)::DATE))::BIGINT AS rel_days FROM y""",
@@ -218,7 +250,8 @@ a AS (SELECT subject, predicate, object FROM w WHERE r = 1), b AS (SELECT subjec
 SELECT *, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     "csv_facts": f"""WITH x AS (SELECT {_FNV.format("'Customer' || chr(0) || c_custkey")} AS subject, c_name, c_mktsegment, {_FNV.format("'Nation' || chr(0) || c_nationkey")} AS n FROM customer)
 SELECT subject, 'c_name' AS predicate, 'text:' || c_name AS object FROM x UNION ALL SELECT subject, 'c_mktsegment', 'text:' || c_mktsegment FROM x UNION ALL SELECT subject, 'c_nationkey', 'node:' || n FROM x""",
-    "store_stats": f"WITH {F} SELECT CASE WHEN card = 'one' THEN 'SetOne' ELSE 'AddMany' END AS op, count(*) AS rows, count(DISTINCT predicate) AS predicates, count(DISTINCT source) AS sources, max(ok) AS head FROM f GROUP BY 1",
+    "store_stats": f"""WITH {F}, {ATTRS}, {NODE_VECTORS} SELECT 'rows' AS name, count(*) AS n FROM f UNION ALL SELECT 'subjects', count(DISTINCT subject) FROM f UNION ALL SELECT 'predicates', count(DISTINCT predicate) FROM f
+UNION ALL SELECT 'sources', count(DISTINCT source) FROM f UNION ALL SELECT 'head', max(ok) FROM f UNION ALL SELECT 'label:' || label, count(*) FROM attrs WHERE label IS NOT NULL GROUP BY label UNION ALL SELECT 'embeddings', count(*) FROM nv""",
     "validate_facts": f"""WITH {ALL}, p AS (SELECT f.ok, f.predicate, CASE WHEN a.type <> f.domain THEN 'domain' WHEN f.range_type IS NOT NULL AND f.node IS NULL THEN 'class' WHEN b.type <> f.range_type THEN 'range'
  WHEN f.range_value IS NOT NULL AND split_part(f.object, ':', 1) <> f.range_value THEN 'class' END AS problem FROM f LEFT JOIN attrs a ON a.node = f.subject LEFT JOIN attrs b ON b.node = f.node) SELECT * FROM p WHERE problem IS NOT NULL""",
 }

@@ -126,19 +126,23 @@ def scratch() -> Iterator[None]:
             _remove(spark, path)
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    Later steps that read it several times neither recompute it nor depend on executors staying alive,
-    and each reader still prunes columns and pushes filters. The table is removed at the end of the innermost
-    ``scratch``, or else when the driver ends.
-    """
-    spark = df.sparkSession
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed at the end of the innermost ``scratch``, or else when the driver ends."""
     ship(spark)
     path = f"{shared_dir(spark).rstrip('/')}/kronoweft/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if _SCOPES:
         _SCOPES[-1].append((spark, path))
     else:
         atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back.
+
+    Later steps that read it several times neither recompute it nor depend on executors staying alive,
+    and each reader still prunes columns and pushes filters. See ``table_path`` for when it is removed.
+    """
+    path = table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -71,6 +71,20 @@ def _name(spec: dict) -> str:
     return spec["name"]
 
 
+def inventory(defs: DataFrame, attrs: DataFrame, rules: list[str]) -> DataFrame:
+    """kind (predicate, label, rule), name, card, domain, range: what a schema declares, and the labels in use.
+
+    defs: name, card, domain, range_type, range_value.
+    """
+    none = F.lit(None).cast("string")
+    preds = defs.select(F.lit("predicate").alias("kind"), "name", "card", "domain", F.coalesce("range_type", "range_value").alias("range"))
+    labels = attrs.where("label IS NOT NULL").select(F.lit("label").alias("kind"), F.col("label").cast("string").alias("name"), none.alias("card"), none.alias("domain"), none.alias("range")).distinct()
+    out = preds.unionByName(labels)
+    if rules:
+        out = out.unionByName(attrs.sparkSession.createDataFrame([("rule", n, None, None, None) for n in rules], "kind string, name string, card string, domain string, range string"))
+    return out
+
+
 def violations(facts: DataFrame, defs: DataFrame, attrs: DataFrame) -> DataFrame:
     """facts with ``problem``: domain, range type or class of value differ from the definition.
 

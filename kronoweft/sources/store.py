@@ -220,4 +220,12 @@ class Store:
         }
 
 
+def log_stats(snap: Snapshot, embeddings: DataFrame) -> DataFrame:
+    """name, n: how much a snapshot holds, in one row per figure; labels in use are label:<number>."""
+    log = snap.log.agg(F.count("*").alias("rows"), F.count_distinct("subject").alias("subjects"), F.count_distinct("predicate").alias("predicates"), F.count_distinct("source").alias("sources"), F.max("ok").alias("head"))
+    figures = log.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in log.columns])).alias("x")).select("x.*")
+    labels = snap.attrs.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).select(F.concat(F.lit("label:"), F.col("label").cast("string")).alias("name"), "n")
+    return figures.unionByName(labels).unionByName(embeddings.agg(F.lit("embeddings").alias("name"), F.count("*").alias("n")))
+
+
 __all__ = ["LOG", "Store", "literal", "object_text", "typed"]

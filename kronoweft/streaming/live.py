@@ -159,8 +159,8 @@ class Watch:
         self.journal: list[tuple[int, DataFrame]] = []
 
     def _judge(self):
-        self.verdicts = cut(rules.conformance(self.rule, self.history(), self.over()), "verdicts")
-        self.support = cut(rules.supports(self.rule, self.history(), self.over()), "supports")
+        verdicts, support = rules.judge(self.rule, self.history(), self.over())
+        self.verdicts, self.support = cut(verdicts, "verdicts"), cut(support, "supports")
 
     def apply(self, touched: DataFrame, head: int) -> DataFrame:
         """Bring the verdicts up to a head at which the given keys were written; returns the diffs."""

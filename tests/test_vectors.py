@@ -21,8 +21,15 @@ def test_search(spark, rows):
     near = vectors.search(indexed, ivf, queries, 5, probes, 128)
     hit = sum(r["id"] in want[r["query"]] for r in near.collect())
     assert hit >= 0.9 * 60
-    full, tail, cut_off = vectors.search_complete(indexed, ivf, list(x[0]), 5, 2, budget=10**6)
-    assert [r[0] for r in full.orderBy("rank").select("id").collect()] == want[0] and tail > 0 and not cut_off
-    assert vectors.search_complete(indexed, ivf, list(x[0]), 5, 2, budget=1)[2]
+    full, told = vectors.search_complete(indexed, ivf, queries, 5, 2, budget=10**6)
+    got = {}
+    for r in full.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["id"])
+    assert got == want and rows(told.select("left_out").distinct()) == [(False,)] and told.agg(F.min("tail")).first()[0] > 0
+    # a budget that bites: cells that do not fit are left out whole, and no query scores more than its budget
+    _, told = vectors.search_complete(indexed, ivf, queries, 5, 2, budget=40)
+    assert rows(told.select("left_out").distinct()) == [(True,)] and 0 < told.agg(F.max("tail")).first()[0] <= 40
     assert abs(vectors.fit(indexed, ivf)[2] - 1) < 0.2 and vectors.keep_quantizers(1.2, 600, 700) and not vectors.keep_quantizers(1.6, 600, 700)
+    assert vectors.refresh(df.limit(500), ivf)[2] is False and vectors.refresh(df.withColumn("x", F.transform("x", lambda v: v * 9)), ivf)[2] is True
     assert vectors.knn(df, queries.limit(0)).count() == 0 and vectors.knn(df.where(F.lit(False)), queries).count() == 0
+    assert vectors.search(indexed, ivf, queries.limit(0)).count() == 0
