@@ -143,8 +143,8 @@ class Engine:
 
     def _search(self, req, mask) -> Pipeline:
         p = Pipeline(self.snap, mask=mask, max_nodes=req.get("max_nodes", 100))
-        # vectors are indexed as they are appended, so strict and fresh reads see the same rows
-        p = p.similar_to(req["vector"], req["type"], req.get("k", 10))
+        # a strict search sees what was indexed, a fresh one (the default) all vectors
+        p = p.similar_to(req["vector"], req["type"], req.get("k", 10), self.store.indexed if req.get("strict") else None)
         return p.expand(req["expand"], self._relation(req["expand"])) if req.get("expand") else p
 
     def _as_of(self) -> dict:
@@ -160,15 +160,16 @@ class Engine:
         text = self.snap.one.where(F.col("predicate") == content).select(F.col("subject").alias("node"), F.col("object.t").alias("content"))
         when = self.snap.one.where(F.col("predicate") == date).select(F.col("subject").alias("node"), F.col("object.i").alias("date"))
         frame = {"offset_min": req.get("tz_offset_min", 0), "start_min": req.get("business_start_min", 540), "end_min": req.get("business_end_min", 1080), "start_month": req.get("fiscal_year_start_month", 1)}
-        rows = lookup.context(hits.join(text, "node", "left").join(when, "node", "left"), req.get("as_of"), **frame).orderBy(F.col("date").asc_nulls_last(), F.col("score").desc(), "node").collect()
+        lines = lookup.context(hits.join(text, "node", "left").join(when, "node", "left"), req.get("as_of"), **frame)
+        rows = lines.orderBy(*lookup.in_order(lines)).collect()
         shown = [{"node": r["node"], "score": r["score"], "date": r["date"], "stamp": r["stamp"], "content": r["content"] or ""} for r in rows]
         return {"context": lookup.context_block([r["line"] for r in rows]), "hits": shown, "as_of": rows[0]["as_of"] if rows else req.get("as_of", 0)}
 
     def _op_find(self, req, mask):
         limit = req.get("limit", 20)
         rows = lookup.find(self.snap.one, self.snap.many, req.get("text", ""), self.snap.attrs, mask).join(self._names(), "node", "left").join(self.snap.attrs.select("node", "type"), "node", "left")
-        got = rows.orderBy("node").limit(limit + 1).collect()
-        return {"nodes": [{"id": r["node"], "name": r["name"], "type": r["type"], "matched": {"predicate": r["predicate"], "value": r["value"]}} for r in got[:limit]], "truncated": len(got) > limit}
+        got = lookup.first_found(rows, limit).orderBy("node").collect()
+        return {"nodes": [{"id": r["node"], "name": r["name"], "type": r["type"], "matched": {"predicate": r["predicate"], "value": r["value"]}} for r in got], "truncated": bool(got) and got[0]["truncated"]}
 
     def _op_neighborhood(self, req, mask):
         if self._denied(req["subject"], mask):
@@ -284,6 +285,9 @@ class Engine:
     def _op_stats(self, req, mask):
         return self.store.stats()
 
+    def _op_index(self, req, mask):
+        return self.store.build_index()
+
     def _op_compact(self, req, mask):
         out = self.store.compact()
         self.refresh()

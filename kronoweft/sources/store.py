@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 from kronoweft.model import OBJECT, bool_, double_, float_, int_, node_, object_text, text_
 from kronoweft.operators import fold
 from kronoweft.operators.snapshot import Snapshot
-from kronoweft.session import cut, ship
+from kronoweft.operators.vectors import Ivf, fit, refresh
+from kronoweft.session import Files, cut, ship
 from kronoweft.sources.catalog import Catalog
 
 _OBJ = "struct<node:bigint,int:bigint,float:double,text:string,bool:boolean>"
@@ -51,19 +51,22 @@ def literal(v: Column) -> Column:
 class Store:
     def __init__(self, spark: SparkSession, folder: str, max_rows: int | None = None):
         ship(spark)
-        self.spark, self.folder, self.max_rows = spark, Path(folder), max_rows
-        self.folder.mkdir(parents=True, exist_ok=True)
+        self.spark, self.folder, self.max_rows = spark, folder.rstrip("/"), max_rows
+        self.files = Files(spark, self.folder)
         self.catalog = Catalog()
         self.batches: list[str] = []
-        self.head, self.vectors, self.dim = 0, [], None
+        self.head, self.vectors, self.dim, self.indexed = 0, [], None, 0
+        self.ivf: Ivf | None = None
+        self.index: DataFrame | None = None
         self._load()
 
-    # the manifest names the committed batches; a batch that is not named was never written
+    # the newest manifest names the committed batches; a batch that is not named was never written
     def _load(self) -> None:
-        f = self.folder / "manifest.json"
-        if f.exists():
-            m = json.loads(f.read_text())
-            self.batches, self.head, self.vectors, self.dim = m["batches"], m["head"], m["vectors"], m["dim"]
+        named = [n for n in self.files.names() if n.startswith("manifest-")]
+        self._number = int(named[-1].split("-")[1]) if named else 0
+        if named:
+            m = json.loads(self.files.read(named[-1]))
+            self.batches, self.head, self.vectors, self.dim, self.indexed = m["batches"], m["head"], m["vectors"], m["dim"], m["indexed"]
             for d in m["defs"]:
                 self.catalog.define(d)
 
@@ -71,9 +74,11 @@ class Store:
         defs = [{"type_def": {"name": n}} for n in sorted(self.catalog.types)] + [{"source_def": {"name": n}} for n in sorted(self.catalog.sources)]
         defs += [{"pred_def": {k: v for k, v in asdict(p).items() if v is not None}} for p in self.catalog.predicates.values()]
         defs += [{"rule_def": {"name": n, "rule": r}} for n, r in self.catalog.rules.items()]
-        tmp = self.folder / "manifest.tmp"
-        tmp.write_text(json.dumps({"batches": self.batches, "head": self.head, "vectors": self.vectors, "dim": self.dim, "defs": defs}))
-        tmp.replace(self.folder / "manifest.json")
+        self._number += 1
+        self.files.write(f"manifest-{self._number:012d}", json.dumps({"batches": self.batches, "head": self.head, "vectors": self.vectors, "dim": self.dim, "indexed": self.indexed, "defs": defs}))
+        for n in self.files.names():
+            if n.startswith("manifest-") and n < f"manifest-{self._number - 1:012d}":
+                self.files.delete(n)
 
     def log(self) -> DataFrame:
         return self.spark.read.schema(LOG).parquet(*self.batches) if self.batches else self.spark.createDataFrame([], LOG)
@@ -111,7 +116,7 @@ class Store:
         if self.max_rows is not None and sum(counts.values()) > self.max_rows:
             raise RuntimeError(f"backpressure: {sum(counts.values())} rows, at most {self.max_rows} a batch")
         if counts:
-            path = str(self.folder / f"batch-{len(self.batches):06d}-{self.head}")
+            path = f"{self.folder}/batch-{len(self.batches):06d}-{self.head}"
             new.write.mode("overwrite").parquet(path)
             self.batches = [*self.batches, path]
             self.head = new.agg(F.max("ok")).first()[0]
@@ -180,43 +185,74 @@ class Store:
             out = p if out is None else out.unionByName(p)
         return cut(out, "batch")
 
-    def embed(self, lines: str) -> int:
-        """Append {node, vector} lines; all must have the dimension of the first vector ever received."""
-        rows = [json.loads(s) for s in lines.splitlines() if s.strip()]
-        dim = self.dim
-        for r in rows:
-            dim = dim or len(r["vector"])
-            if len(r["vector"]) != dim or dim == 0:
-                raise ValueError(f"vector of node {r['node']} has {len(r['vector'])} numbers, not {dim}")
-        if rows:
-            start = self.spark.read.parquet(*self.vectors).agg(F.max("seqno")).first()[0] + 1 if self.vectors else 0
-            path = str(self.folder / f"vectors-{len(self.vectors):06d}")
-            self.spark.createDataFrame([(r["node"], start + n, [float(v) for v in r["vector"]]) for n, r in enumerate(rows)], "id bigint, seqno bigint, x array<float>").write.mode("overwrite").parquet(path)
+    def embed(self, lines: str | DataFrame) -> int:
+        """Append {node, vector} lines (text, or a DataFrame with a column ``value``); all must have the dimension of the first vector ever received.
+
+        Lines are parsed and checked in the executors; of a batch with a bad line nothing is written.
+        """
+        if isinstance(lines, str):
+            df = self.spark.createDataFrame([(n, s) for n, s in enumerate(lines.splitlines()) if s.strip()], "line bigint, value string")
+        else:
+            df = lines.withColumn("line", F.monotonically_increasing_id()).select("line", "value").where("trim(value) <> ''")
+        parsed = cut(df.select("line", F.from_json("value", "node bigint, vector array<float>").alias("j")).select("line", "j.node", "j.vector"), "vectors")
+        first = parsed.where("vector IS NOT NULL").orderBy("line").select(F.size("vector")).first()
+        dim = self.dim or (first[0] if first else None)
+        bad = parsed.where(F.col("node").isNull() | F.col("vector").isNull() | (F.size("vector") != F.lit(dim)) | (F.size("vector") == 0) | F.exists("vector", lambda v: v.isNull())).orderBy("line").first()
+        if bad:
+            raise ValueError(f"line {bad['line'] + 1}: vector of node {bad['node']} has {len(bad['vector'] or [])} numbers, not {dim}")
+        n = parsed.count()
+        if n:
+            start = self.embedded()
+            path = f"{self.folder}/vectors-{len(self.vectors):06d}"
+            parsed.select(F.col("node").alias("id"), (F.col("line") + start).alias("seqno"), F.col("vector").alias("x")).write.mode("overwrite").parquet(path)
             self.vectors, self.dim = [*self.vectors, path], dim
             self._commit()
-        return len(rows)
+        return n
+
+    def embedded(self) -> int:
+        """The order number that the next vector gets."""
+        return (self.spark.read.parquet(*self.vectors).agg(F.max("seqno")).first()[0] + 1) if self.vectors else 0
+
+    def build_index(self) -> dict:
+        """Index the vectors received so far; trained quantizers are kept as long as they fit. Strict reads see what is indexed."""
+        rows = self.embeddings()
+        if not self.vectors:
+            return {"rows": 0, "trained": False}
+        self.ivf, self.index, trained = refresh(rows, self.ivf)
+        self.indexed = self.embedded()
+        self._commit()
+        return {"rows": self.index.count(), "trained": trained}
 
     def compact(self) -> dict[str, int]:
         """Rewrite the log as one batch without rows that no read can see; history stays and reads do not change."""
         if self.batches:
-            path = str(self.folder / f"compact-{self.head}-{len(self.batches)}")
+            old, path = self.batches, f"{self.folder}/compact-{self.head}-{len(self.batches)}"
             fold.collect_garbage(self.log()).write.mode("overwrite").parquet(path)
             self.batches = [path]
             self._commit()
+            for b in old:
+                if b != path:
+                    self.files.delete(b.rsplit("/", 1)[1])
         return {"covered": self.head}
 
     def reset(self) -> None:
-        """Forget everything: the manifest is emptied first, files of old batches are no longer read."""
-        self.batches, self.head, self.vectors, self.dim, self.catalog = [], 0, [], None, Catalog()
+        """Forget everything: an empty manifest is written first, then the files of old batches are removed."""
+        old = [*self.batches, *self.vectors]
+        self.batches, self.head, self.vectors, self.dim, self.indexed, self.catalog = [], 0, [], None, 0, Catalog()
+        self.ivf = self.index = None
         self._commit()
+        for b in old:
+            self.files.delete(b.rsplit("/", 1)[1])
 
     def stats(self) -> dict:
-        snap = self.snapshot()
-        log = snap.log.agg(F.count("*").alias("rows"), F.count_distinct("subject").alias("subjects")).first()
-        labels = {r["label"]: r["n"] for r in snap.attrs.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).collect()}
+        got = {r["name"]: r["n"] for r in log_stats(self.snapshot(), self.embeddings()).collect()}
+        index = None
+        if self.ivf is not None and self.index is not None:
+            trained, live, ratio = fit(self.index, self.ivf)
+            index = {"rows": self.index.count(), "cells": len(self.ivf.centres), "fit_trained": trained, "fit_live": live, "drift": ratio}
         return {
-            "durable_head": self.head, "rows": log["rows"], "subjects": log["subjects"], "types": len(self.catalog.types), "predicates": len(self.catalog.predicates),
-            "rules": sorted(self.catalog.rules), "sources": sorted(self.catalog.sources), "labels": labels, "embeddings": self.embeddings().count(), "dim": self.dim,
+            "durable_head": self.head, "rows": got["rows"], "subjects": got["subjects"], "types": len(self.catalog.types), "predicates": len(self.catalog.predicates), "rules": sorted(self.catalog.rules),
+            "sources": sorted(self.catalog.sources), "labels": {int(k[6:]): n for k, n in got.items() if k.startswith("label:")}, "embeddings": got["embeddings"], "dim": self.dim, "bytes": self.files.bytes(), "index": index,
         }
 
 

@@ -1,5 +1,8 @@
 """The registry of queries, and the calendar, CSV and fold pieces that need no large tables."""
 
+import datetime as dt
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +26,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["subject", "predicate", "value", "valid_from", "valid_to"]
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p4_found", "p5_found", "p6_found", "fold_retract", "point_many_asof", "expand_2hop", "csv_facts"])
+@pytest.mark.parametrize("name", ["p1_found", "p4_found", "p5_found", "p6_found", "p2_snapshots", "fold_retract", "point_many_asof", "expand_2hop", "csv_facts"])
 def test_against_sql(spark, rows, name):
     c = duckdb.connect()
     for t in ("record_feed", "fact_rows", "node_rows", "vector_rows", "segment_rows", "pred_defs", "customer"):
@@ -35,18 +38,6 @@ def test_against_sql(spark, rows, name):
     assert sorted(map(str, rows(df, *names))) == sorted(map(str, cur.fetchall()))
 
 
-def test_compose_takes_all_issues(spark, rows):
-    """7,339 issues, of which the SQL takes the first 3,000; without that limit it checks the whole result."""
-    d = "/root/testdata/sf0.1"
-    c = duckdb.connect()
-    for t in ("fact_rows", "node_rows", "pred_defs"):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    first = sorted(c.execute(entry.oracle_sql()["pipeline_compose"]).fetchall())
-    whole = sorted(c.execute(entry.oracle_sql()["pipeline_compose"].replace("LIMIT 3000", "")).fetchall())
-    assert len(first) < len(whole)
-    assert rows(entry.queries()["pipeline_compose"](spark, d), "id", "score") == whole
-
-
 def test_pipeline_without_cap_keeps_the_order(spark):
     """Uncapped steps lead to the same order as capped ones, ties by id included."""
     log = spark.createDataFrame([(n, "AddMany", s, p, (0, o, None, None, None, None), 0, None, None, None) for n, (s, p, o) in enumerate([(1, "a", 12), (1, "a", 11), (2, "a", 10), (11, "b", 21), (12, "b", 20), (10, "b", 5), (3, "a", 9)])], LOG)
@@ -58,8 +49,30 @@ def test_pipeline_without_cap_keeps_the_order(spark):
 
 
 def test_calendar(spark):
-    r = spark.range(1).select(*[calendar.tag(F.lit(t), F.lit(1_687_651_200), 540, start_month=4) for t in (1_685_403_600, -1)]).first()
-    assert tuple(r) == ("2023-05-30 08:40 +09:00 (Tue, 26 days before, FY2023 Q1)", "1970-01-01 08:59 +09:00 (Thu, 19533 days before, FY1969 Q4)")
+    """Against Python's own calendar, over instants before and after the epoch, offsets and starts of the fiscal year."""
+    rng = random.Random(6)
+    for _ in range(4):
+        offset, start, as_of = rng.choice([-570, -60, 0, 345, 720]), rng.randrange(1, 13), rng.randrange(0, 2**31)
+        instants = [rng.randrange(-(2**31), 2**32) for _ in range(20)]
+        df = spark.createDataFrame([(t,) for t in instants], "t long")
+        got = {r["t"]: r["x"] for r in df.select("t", calendar.tag(F.col("t"), F.lit(as_of), offset, start_month=start).alias("x")).collect()}
+        local = lambda t: dt.datetime(1970, 1, 1) + dt.timedelta(seconds=t, minutes=offset)  # noqa: B023, E731
+        for t in instants:
+            d = local(t)
+            days = (local(as_of).date() - d.date()).days
+            where = "same day" if not days else f"{abs(days)} days {'before' if days > 0 else 'after'}"
+            busy = ", business hours" if d.weekday() < 5 and 9 <= d.hour < 18 else ""
+            zone = f"{'-' if offset < 0 else '+'}{abs(offset) // 60:02d}:{abs(offset) % 60:02d}"
+            fiscal = f"FY{d.year - (d.month < start)} Q{(d.month - start) % 12 // 3 + 1}"
+            assert got[t] == f"{d:%Y-%m-%d %H:%M} {zone} ({d:%a}, {where}{busy}, {fiscal})"
+
+
+def test_floats_keep_their_digits(spark, rows):
+    """Values that differ in the sixth place are different versions, and huge ones are values like others."""
+    values = [0.00001, 0.00004, 7.123456, 7.1234561, 1e17, -2.5, 3.0, 123456789.25]
+    log = spark.createDataFrame([(n, "SetOne", 1, "p", (2, None, None, v, None, None), 10 * n, None, None, None) for n, v in enumerate(values)], LOG)
+    got = rows(temporal.timeline(fold.one_history(log)), "valid_from", "value")
+    assert [(f, float(v[6:])) for f, v in got] == [(10 * n, v) for n, v in enumerate(values)] and got[-1][1] == "float:123456789.25"
 
 
 def test_csv(spark, rows, tmp_path):
@@ -68,7 +81,7 @@ def test_csv(spark, rows, tmp_path):
     roles = {"id": csvfacts.Role("id"), "title": csvfacts.Role("literal"), "n": csvfacts.Role("literal"), "boss": csvfacts.Role("edge", "W"), "since": csvfacts.Role("valid_from"), "note": csvfacts.Role("literal")}
     got = rows(csvfacts.compile_facts(df, "W", roles).withColumn("object", object_text("object")), "predicate", "object", "valid_from")
     two = csvfacts.compile_facts(df, "W", roles).where("predicate = 'title'").select("subject").collect()
-    assert [g for g in got if g[0] != "boss"] == [("n", "float:3.0000", 1704153600), ("n", "float:4.5000", 1709546400), ("note", "text:x", 1709546400), ("title", 'text:a "quoted"\nline', 1704153600), ("title", "text:b", 1709546400)]
+    assert [g for g in got if g[0] != "boss"] == [("n", "float:3.0", 1704153600), ("n", "float:4.5", 1709546400), ("note", "text:x", 1709546400), ("title", 'text:a "quoted"\nline', 1704153600), ("title", "text:b", 1709546400)]
     assert int([g for g in got if g[0] == "boss"][0][1][5:]) in {r[0] for r in two}
     with pytest.raises(Exception, match="blank id"):
         csvfacts.compile_facts(spark.createDataFrame([(" ", "x")], "id string, title string"), "W", {k: roles[k] for k in ("id", "title")}).collect()
