@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ class Store:
         self.files = Files(spark, self.folder)
         self.catalog = Catalog()
         self.batches: list[str] = []
-        self.head, self.vectors, self.dim, self.indexed = 0, [], None, 0
+        self.head, self.vectors, self.dim, self.indexed, self.removals = 0, [], None, 0, False
         self.ivf: Ivf | None = None
         self.index: DataFrame | None = None
         self._load()
@@ -66,7 +67,7 @@ class Store:
         self._number = int(named[-1].split("-")[1]) if named else 0
         if named:
             m = json.loads(self.files.read(named[-1]))
-            self.batches, self.head, self.vectors, self.dim, self.indexed = m["batches"], m["head"], m["vectors"], m["dim"], m["indexed"]
+            self.batches, self.head, self.vectors, self.dim, self.indexed, self.removals = m["batches"], m["head"], m["vectors"], m["dim"], m["indexed"], m["removals"]
             for d in m["defs"]:
                 self.catalog.define(d)
 
@@ -75,7 +76,7 @@ class Store:
         defs += [{"pred_def": {k: v for k, v in asdict(p).items() if v is not None}} for p in self.catalog.predicates.values()]
         defs += [{"rule_def": {"name": n, "rule": r}} for n, r in self.catalog.rules.items()]
         self._number += 1
-        self.files.write(f"manifest-{self._number:012d}", json.dumps({"batches": self.batches, "head": self.head, "vectors": self.vectors, "dim": self.dim, "indexed": self.indexed, "defs": defs}))
+        self.files.write(f"manifest-{self._number:012d}", json.dumps({"batches": self.batches, "head": self.head, "vectors": self.vectors, "dim": self.dim, "indexed": self.indexed, "removals": self.removals, "defs": defs}))
         for n in self.files.names():
             if n.startswith("manifest-") and n < f"manifest-{self._number - 1:012d}":
                 self.files.delete(n)
@@ -91,7 +92,7 @@ class Store:
         return rows.groupBy("id").agg(F.max("seqno").alias("seqno"), F.max_by("x", "seqno").alias("x"))
 
     def snapshot(self) -> Snapshot:
-        return Snapshot(self.log(), embeddings=self.embeddings())
+        return Snapshot(self.log(), embeddings=self.embeddings(), plain=not self.removals)
 
     def ingest(self, lines: str | DataFrame, source: str | None = None) -> dict[str, int]:
         """Append lines of JSON (text, or a DataFrame with a column ``value``); source is put where a fact has none."""
@@ -104,23 +105,30 @@ class Store:
         parsed = cut(df.withColumn("j", F.from_json("value", LINE)), "lines")
         kinds = ["type_def", "source_def", "pred_def", "rule_def", "node", "fact", "close", "retract"]
         bad = parsed.where(F.coalesce(*[F.col(f"j.{k}").cast("string") if "def" in k else F.when(F.col(f"j.{k}").isNotNull(), "x") for k in kinds]).isNull())
-        if r := bad.select("line", "value").orderBy("line").first():
-            raise ValueError(f"line {r['line'] + 1}: not a known record: {r['value'][:100]}")
-        defs = parsed.where(F.coalesce(*[F.col(f"j.{k}") for k in kinds[:4]]).isNotNull()).orderBy("line").select("value").collect()
+        # what the lines hold decides which parts of the log have to be folded
+        node, said = F.col("j.node"), lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+        self._has = parsed.agg(
+            *[said(F.col(f"j.{k}").isNotNull()).alias(k) for k in kinds[4:]], said(F.col("j.fact.props").isNotNull()).alias("props"), said(node["type"].isNotNull()).alias("type"), said(node["label"].isNotNull()).alias("label"),
+            said(F.coalesce(*[F.col(f"j.{k}") for k in kinds[:4]]).isNotNull()).alias("defs"),
+        ).first()
+        self._bad = [bad.select("line", F.concat(F.lit("not a known record: "), F.substring("value", 1, 100)).alias("problem"))]
+        defs = parsed.where(F.coalesce(*[F.col(f"j.{k}") for k in kinds[:4]]).isNotNull()).orderBy("line").select("value").collect() if self._has["defs"] else []
         catalog = Catalog(set(self.catalog.types), set(self.catalog.sources), dict(self.catalog.predicates), dict(self.catalog.rules))
         for r in defs:
             catalog.define(json.loads(r["value"]))
         new = self._changes(parsed, catalog, source)
-        counts = {r["op"]: r["n"] for r in new.groupBy("op").agg(F.count("*").alias("n")).collect()}
-        asked = {r["op"]: r["n"] for r in self._asked.groupBy("op").agg(F.count("*").alias("n")).collect()}
+        told = [] if new is None else new.groupBy("op").agg(F.count("*").alias("n"), F.max("ok").alias("ok"), F.collect_set("source").alias("sources")).collect()
+        counts = {r["op"]: r["n"] for r in told}
+        asked = {r["op"]: r["n"] for r in (self._asked.groupBy("op").agg(F.count("*").alias("n")).collect() if self._asked is not None else [])}
         if self.max_rows is not None and sum(counts.values()) > self.max_rows:
             raise RuntimeError(f"backpressure: {sum(counts.values())} rows, at most {self.max_rows} a batch")
         if counts:
             path = f"{self.folder}/batch-{len(self.batches):06d}-{self.head}"
             new.write.mode("overwrite").parquet(path)
             self.batches = [*self.batches, path]
-            self.head = new.agg(F.max("ok")).first()[0]
-            catalog.sources |= {r[0] for r in new.where("source IS NOT NULL").select("source").distinct().collect()}
+            self.head = max(r["ok"] for r in told)
+            self.removals = self.removals or bool({"RemoveMany", "HardDelete"} & set(counts))
+            catalog.sources |= {x for r in told for x in r["sources"]}
         self.catalog = catalog
         self._commit()
         total = lambda d, *ops: sum(d.get(o, 0) for o in ops)
@@ -129,7 +137,7 @@ class Store:
             "retracts": total(counts, "RemoveMany"), "suppressed": sum(asked.values()) - sum(counts.values()), "durable_head": self.head,
         }
 
-    def _changes(self, parsed: DataFrame, catalog: Catalog, source: str | None) -> DataFrame:
+    def _changes(self, parsed: DataFrame, catalog: Catalog, source: str | None) -> DataFrame | None:
         base = self.head + 1
         none = lambda t: F.lit(None).cast(t)
         cols = {"observed": none("array<bigint>"), "key": none("string"), "value": none(OBJECT), "type": none("string"), "label": none("int"), "batch": F.lit(len(self.batches)).cast("bigint")}
@@ -137,6 +145,9 @@ class Store:
         parts = []
         for kind, ops in (("fact", ("SetOne", "AddMany")), ("close", ("CloseOne", "CloseMany")), ("retract", (None, "RemoveMany"))):
             r = F.col(f"j.{kind}")
+            if not self._has[kind]:
+                parts.append(None)
+                continue
             rows = parsed.where(r.isNotNull()).withColumn("card", card[r["predicate"]]).withColumn("object", typed(r["object"]))
             problem = F.when(r["subject"].isNull(), "subject required").when(F.col("card").isNull(), F.concat(F.lit("unknown predicate: "), F.coalesce(r["predicate"], F.lit("")))).when(r["subject"] < 0, "node ids are not negative")
             if kind == "fact":
@@ -145,45 +156,55 @@ class Store:
                 problem = problem.when((F.col("card") == "one") & F.col("object").isNotNull(), "a close of a one-valued predicate has no object").when((F.col("card") == "many") & F.col("object").isNull(), "a close of a many-valued predicate needs an object")
             else:
                 problem = problem.when(F.col("card") == "one", "retract needs a many-valued predicate").when(F.col("object").isNull(), "object required")
-            if e := rows.withColumn("problem", problem).where("problem IS NOT NULL").orderBy("line").select("line", "problem").first():
-                raise ValueError(f"line {e['line'] + 1}: {e['problem']}")
+            self._bad.append(rows.withColumn("problem", problem).where("problem IS NOT NULL").select("line", "problem"))
             src = F.coalesce(r["source"], F.lit(source)) if source else r["source"]
             op = F.when(F.col("card") == "one", ops[0]).otherwise(ops[1])
             parts.append(rows.select("line", op.alias("op"), r["subject"].alias("subject"), r["predicate"].alias("predicate"), "object", F.coalesce(r["valid_from"], F.lit(0)).alias("valid_from"), r["valid_to"].alias("valid_to"), src.alias("source"), r["props"].alias("props")))
         facts, closes, retracts = parts
-        props = facts.where("props IS NOT NULL").select("line", F.lit("SetEdgeProp").alias("op"), "subject", "predicate", "object", "source", F.explode("props").alias("key", "v")).withColumn("value", literal(F.col("v"))).drop("v")
         node = F.col("j.node")
         nodes = parsed.where(node.isNotNull())
-        if e := nodes.where(node["id"].isNull() | (node["id"] < 0) | ~F.coalesce(node["label"].between(0, 31), F.lit(True))).orderBy("line").select("line").first():
-            raise ValueError(f"line {e['line'] + 1}: a node needs an id, and a label from 0 to 31 if any")
-        types = nodes.where(node["type"].isNotNull()).select("line", F.lit("SetNodeType").alias("op"), node["id"].alias("subject"), node["type"].alias("type"))
-        labels = nodes.where(node["label"].isNotNull()).select("line", F.lit("SetNodeLabel").alias("op"), node["id"].alias("subject"), node["label"].alias("label"))
-        whole = lambda df: df.withColumns({k: v for k, v in cols.items() if k not in df.columns}).withColumns({c: none(t) for c, t in (("subject", "bigint"), ("predicate", "string"), ("object", OBJECT), ("valid_from", "bigint"), ("valid_to", "bigint"), ("source", "string")) if c not in df.columns}).drop("props")
-        self._asked = facts.select("op").unionByName(closes.select("op")).unionByName(retracts.select("op")).unionByName(types.select("op")).unionByName(labels.select("op"))
+        odd = nodes.where(node["id"].isNull() | (node["id"] < 0) | ~F.coalesce(node["label"].between(0, 31), F.lit(True)))
+        if self._has["node"]:
+            self._bad.append(odd.select("line", F.lit("a node needs an id, and a label from 0 to 31 if any").alias("problem")))
+        if e := reduce(DataFrame.unionByName, self._bad).orderBy("line").first():
+            raise ValueError(f"line {e['line'] + 1}: {e['problem']}")
         snap = self.snapshot()
+        number = (F.lit(base) + F.col("line")).alias("ok")
+        asked, new, many = [], [], None
         # what is already so is not written again
-        one = fold.suppress_one(facts.where("op = 'SetOne'").drop("props"), snap.one.where("object IS NOT NULL"))
-        many = fold.suppress_many(facts.where("op = 'AddMany'").drop("props"), snap.many_history.where("is_add"))
-        shut = closes.drop("props").alias("c")
-        done = snap.one.where("object IS NULL").select("subject", "predicate", "object", "valid_from").unionByName(
-            fold.heads(snap.many_history, [*fold.KEY, "object"]).where("NOT is_add").select("subject", "predicate", "object", "valid_from")
-        )
-        shut = fold.suppress_rows(shut, done, ["subject", "predicate", "object", "valid_from"])
-        props = fold.suppress_rows(props, fold.edge_props(snap.log), ["subject", "predicate", "object", "key", "value"])
+        if facts is not None:
+            asked.append(facts.select("op"))
+            many = fold.suppress_many(facts.where("op = 'AddMany'").drop("props"), snap.many_history.where("is_add"))
+            new += [fold.suppress_one(facts.where("op = 'SetOne'").drop("props"), snap.one.where("object IS NOT NULL")), many]
+        if self._has["props"]:
+            props = facts.where("props IS NOT NULL").select("line", F.lit("SetEdgeProp").alias("op"), "subject", "predicate", "object", "source", F.explode("props").alias("key", "v")).withColumn("value", literal(F.col("v"))).drop("v")
+            new.append(fold.suppress_rows(props, fold.edge_props(snap.log), ["subject", "predicate", "object", "key", "value"]))
+        if closes is not None:
+            asked.append(closes.select("op"))
+            done = snap.one.where("object IS NULL").select("subject", "predicate", "object", "valid_from").unionByName(
+                fold.heads(snap.many_history, [*fold.KEY, "object"]).where("NOT is_add").select("subject", "predicate", "object", "valid_from")
+            )
+            new.append(fold.suppress_rows(closes.drop("props"), done, ["subject", "predicate", "object", "valid_from"]))
+        if retracts is not None:
+            # a retract observes the adds of its element that were written before it, in the log or in this batch
+            asked.append(retracts.select("op"))
+            before = snap.many_history.where("is_add").select("subject", "predicate", "object", F.col("ok").alias("seen"))
+            if many is not None:
+                before = before.unionByName(many.select("subject", "predicate", "object", number.alias("seen")))
+            gone = retracts.drop("props").withColumn("ok", number).join(before, ["subject", "predicate", "object"]).where("seen < ok")
+            new.append(gone.groupBy("line", "op", "subject", "predicate", "object", "source").agg(F.collect_set("seen").alias("observed")))
         attrs = snap.attrs.withColumnRenamed("node", "subject")
-        types = fold.suppress_rows(types, attrs, ["subject", "type"])
-        labels = fold.suppress_rows(labels, attrs, ["subject", "label"])
-        # a retract observes the adds of its element that were written before it, in the log or in this batch
-        number = (F.lit(base) + F.col("line")).alias("ok")
-        before = snap.many_history.where("is_add").select("subject", "predicate", "object", F.col("ok").alias("seen")).unionByName(many.select("subject", "predicate", "object", number.alias("seen")))
-        gone = retracts.drop("props").withColumn("ok", number).join(before, ["subject", "predicate", "object"]).where("seen < ok")
-        gone = gone.groupBy("line", "op", "subject", "predicate", "object", "source").agg(F.collect_set("seen").alias("observed"))
-        out = None
-        for p in (one, many, shut, gone, props, types, labels):
-            p = whole(p).withColumn("ok", number)
-            p = p.select(*[F.col(c.split()[0]) for c in "ok batch op subject predicate object valid_from valid_to source observed key value type label".split()])
-            out = p if out is None else out.unionByName(p)
-        return cut(out, "batch")
+        for what, op in (("type", "SetNodeType"), ("label", "SetNodeLabel")):
+            if self._has[what]:
+                rows = nodes.where(node[what].isNotNull()).select("line", F.lit(op).alias("op"), node["id"].alias("subject"), node[what].alias(what))
+                asked.append(rows.select("op"))
+                new.append(fold.suppress_rows(rows, attrs, ["subject", what]))
+        whole = lambda df: df.withColumns({k: v for k, v in cols.items() if k not in df.columns}).withColumns({c: none(t) for c, t in (("subject", "bigint"), ("predicate", "string"), ("object", OBJECT), ("valid_from", "bigint"), ("valid_to", "bigint"), ("source", "string")) if c not in df.columns}).drop("props")
+        self._asked = reduce(DataFrame.unionByName, asked) if asked else None
+        if not new:
+            return None
+        names = "ok batch op subject predicate object valid_from valid_to source observed key value type label".split()
+        return cut(reduce(DataFrame.unionByName, [whole(p).withColumn("ok", number).select(*names) for p in new]), "batch")
 
     def embed(self, lines: str | DataFrame) -> int:
         """Append {node, vector} lines (text, or a DataFrame with a column ``value``); all must have the dimension of the first vector ever received.
@@ -238,7 +259,7 @@ class Store:
     def reset(self) -> None:
         """Forget everything: an empty manifest is written first, then the files of old batches are removed."""
         old = [*self.batches, *self.vectors]
-        self.batches, self.head, self.vectors, self.dim, self.indexed, self.catalog = [], 0, [], None, 0, Catalog()
+        self.batches, self.head, self.vectors, self.dim, self.indexed, self.removals, self.catalog = [], 0, [], None, 0, False, Catalog()
         self.ivf = self.index = None
         self._commit()
         for b in old:
