@@ -22,7 +22,7 @@ def signals(history: DataFrame, now: int | None = None, max_age: int | None = No
     max_age at now, where both are given.
     """
     # first per value: a key's rows are never brought together, only its values
-    each = history.groupBy(*KEY, "object").agg(F.count_distinct("source").alias("corroboration"), F.max_by(F.struct("valid_from", "source"), "ok").alias("h"), F.max("ok").alias("ok"))
+    each = history.groupBy(*KEY, "object").agg(F.size(F.collect_set("source")).cast("long").alias("corroboration"), F.max_by(F.struct("valid_from", "source"), "ok").alias("h"), F.max("ok").alias("ok"))
     out = each.groupBy(*KEY).agg(F.max_by(F.struct("object", "h.valid_from", "h.source", "corroboration"), "ok").alias("x")).select(*KEY, "x.*")
     age = F.lit(now).cast("long") - F.col("valid_from")
     stale = (age > max_age) if now is not None and max_age is not None else F.lit(False)

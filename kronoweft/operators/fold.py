@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kronoweft.operators.changefeed import above_floor
-from kronoweft.operators.scans import salted
 
 KEY = ["subject", "predicate"]
 ONE, MANY = ["SetOne", "CloseOne"], ["AddMany", "CloseMany"]
@@ -106,11 +105,12 @@ def suppress_one(batch: DataFrame, head: DataFrame) -> DataFrame:
     """Rows of a batch that change something. batch: line, subject, predicate, object, valid_from, valid_to, source.
 
     A row equal to the current head is dropped as long as no earlier row of the batch wrote to its key; from the
-    first row that does, all rows of the key are kept.
+    first row that does, all rows of the key are kept. A key with very many rows of the batch is left to AQE, which
+    splits the batch's side of a left join; salting would copy every head of the table instead.
     """
     h = head.select(*KEY, F.struct("object", "valid_from", "valid_to", "source").alias("__head"))
     same = F.coalesce(F.struct("object", "valid_from", "valid_to", "source").eqNullSafe(F.col("__head")), F.lit(False))
-    return _leading(salted(batch, h, KEY, F.col("line")).withColumn("__dup", same)).drop("__head")
+    return _leading(batch.join(h, KEY, "left").withColumn("__dup", same)).drop("__head")
 
 
 def suppress_many(batch: DataFrame, live_adds: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def suppress_many(batch: DataFrame, live_adds: DataFrame) -> DataFrame:
 def _leading(rows: DataFrame) -> DataFrame:
     """Drop the copies before a key's first row that is none: the first such line per key, then a comparison."""
     first = rows.where("NOT __dup").groupBy(*KEY).agg(F.min("line").alias("__first"))
-    return salted(rows, first, KEY, F.col("line")).where("NOT __dup OR line > __first").drop("__dup", "__first")
+    return rows.join(first, KEY, "left").where("NOT __dup OR line > __first").drop("__dup", "__first")
 
 
 def suppress_rows(batch: DataFrame, state: DataFrame, on: list[str]) -> DataFrame:
