@@ -53,100 +53,100 @@ WINDOW = 40
 #: The lexicon, by symbol. A trailing * stands for the usual endings; _ joins the words of a phrase.
 LEXICON = {
     # the one addressed
-    "y": """you your yours yourself youre ya u thou du dich dir dein deine deinen deinem deiner deines euch euer eure ihr tu te toi ton ta tes vous votre vos
+   "y": """you your yours yourself youre ya u thou du dich dir dein deine deinen deinem deiner deines euch euer eure ihr tu te toi ton ta tes vous votre vos
         ti tus tuyo tuya eres usted ustedes vosotros contigo os""",
     # the speaker
-    "m": "i ill im we well my me us ich wir mir mich je jai nous on moi yo nosotros voy vamos",
+   "m": "i ill im we well my me us ich wir mir mich je jai nous on moi yo nosotros voy vamos",
     # those spoken of
-    "t": "them they those these sie ihnen diese dieser diesen eux elles ils ces leur ellos ellas esos estos esas",
+   "t": "them they those these sie ihnen diese dieser diesen eux elles ils ces leur ellos ellas esos estos esas",
     # all of them
-    "q": "all every everyone alle jeder jeden samtliche tous toutes chaque todos todas cada",
+   "q": "all every everyone alle jeder jeden samtliche tous toutes chaque todos todas cada",
     # insults that are hardly ever meant otherwise
-    "I": """moron* asshole* arsehole* scumbag* dickhead* motherfucker* dumbass* shithead* douchebag* wanker* retard* cunt* slut* twat* imbecile* cretin* faggot* nigger* kike* spic* whore*
+   "I": """moron* asshole* arsehole* scumbag* dickhead* motherfucker* dumbass* shithead* douchebag* wanker* retard* cunt* slut* twat* imbecile* cretin* faggot* nigger* kike* spic* whore*
         dumbfuck* fuckface* shitbag* piece_of_shit pieces_of_shit son_of_a_bitch piece_of_trash piece_of_garbage waste_of_space waste_of_oxygen
         arschloch* arschlocher mistkerl* drecksack* dreckskerl* hurensohn* hurensohne wichser* vollidiot* fotze* missgeburt* miststuck* schlampe* nutte* spast* stuck_scheise stuck_dreck schwuchtel* kanake* hackfresse
         connard* connasse* salaud* salope* encule* abruti* enfoire* tas_de_merde fils_de_pute sac_a_merde pouffiasse* petasse* trou_du_cul bougnoule* pede*
         gilipollas cabron* imbecil* hijo_de_puta hijos_de_puta hija_de_puta pedazo_de_mierda canalla* pendejo* malparido* subnormal* maricon* capullo* mamon* sudaca*""",
     # insults that also mean something else
-    "i": """idiot* loser* bitch* bastard* pig pigs trash scum jerk* prick* fool* swine coward* freak* crap shit clown* rat dog dogs
+   "i": """idiot* loser* bitch* bastard* pig pigs trash scum jerk* prick* fool* swine coward* freak* crap shit clown* rat dog dogs
         trottel* versager* depp* schwein* hure* penner* abschaum dreck scheise idiotin opfer hund sau feigling*
         idiote* ordure* rate* batard* merde pute* porc* vaurien* minable* pourriture* chien* lache*
         idiota* fracasad* zorra* basura* puta* puto* mierda* perra* perro* cerdo* bastard* inutil* cobarde* payaso*""",
     # demeaning qualities
-    "a": """worthless useless ugly stupid pathetic disgusting dumb filthy miserable brainless
+   "a": """worthless useless ugly stupid pathetic disgusting dumb filthy miserable brainless
         wertlos* hasslich* nutzlos* dumm* erbarmlich* widerlich* dreckig* jammerlich* ekelhaft*
         sans_valeur inutile* laid* laide* stupide* degoutant* sale sales pitoyable* bon_a_rien
         sin_valor feo fea feos feas estupid* patetic* asqueros* sucia sucio repugnante*""",
     # profanity, strong and mild
-    "f": """fuck fucks fucker* fuckin fucking fucked screw_you piss_off fick* gefickt verpiss* scheis* foutre fous fout foute niquer nique* putain baise_ta jod* jodan jodete joder jodas chingate chinga que_te_jodan""",
-    "g": "damn goddamn bloody hell verdammt verflucht putain zut joder carajo cono maldito maldita",
+   "f": """fuck fucks fucker* fuckin fucking fucked screw_you piss_off fick* gefickt verpiss* scheis* foutre fous fout foute niquer nique* putain baise_ta jod* jodan jodete joder jodas chingate chinga que_te_jodan""",
+   "g": "damn goddamn bloody hell verdammt verflucht putain zut joder carajo cono maldito maldita",
     # sent away
-    "o": """go_to_hell rot_in_hell burn_in_hell drop_dead get_lost fuck_off screw_off fahr_zur_holle zur_holle hau_ab verpiss_dich va_au_diable au_diable en_enfer casse_toi degage vete_al_infierno al_infierno al_diablo vete_a_la_mierda largate""",
+   "o": """go_to_hell rot_in_hell burn_in_hell drop_dead get_lost fuck_off screw_off fahr_zur_holle zur_holle hau_ab verpiss_dich va_au_diable au_diable en_enfer casse_toi degage vete_al_infierno al_infierno al_diablo vete_a_la_mierda largate""",
     # told to die
-    "z": """kill_yourself kill_urself bringe_dich_um bringe_euch_um kys hang_yourself end_your_life slit_your_wrists jump_off_a jump_in_front drink_bleach go_die neck_yourself
+   "z": """kill_yourself kill_urself bringe_dich_um bringe_euch_um kys hang_yourself end_your_life slit_your_wrists jump_off_a jump_in_front drink_bleach go_die neck_yourself
         bring_dich_um hang_dich_auf spring_von stirb verreck* va_te_tuer tue_toi va_te_pendre suicide_toi va_crever creve matate suicidate cuelgate muerete ahorcate tirate_de tirate_por""",
     # deadly or sexual violence
-    "V": """kill* murder* strangle* stab* slaughter* slit* shoot rape* raping behead* burn_alive
+   "V": """kill* murder* strangle* stab* slaughter* slit* shoot rape* raping behead* burn_alive
         tote* umbring* bringe_um abstech* stech* steche erschies* erwurg* aufschlitz* vergewaltig* kopfen
         tuer* tuerai tue egorger* egorge* etrangler* poignarder* creverai violer* viole buter* decapiter*
         matar* matare mato maten mataremos degollar* rajar* rajo apunalar* estrangular* violar* violen""",
     # other violence
-    "v": """cut beat* bash* break* breaking smash* crush* punch* choke* hurt* gut burn* skin kick
+   "v": """cut beat* bash* break* breaking smash* crush* punch* choke* hurt* gut burn* skin kick
         schlage* schlag* einschlag* brech* breche zertrummer* verprugel*
         frapper* casser* casse cogner* briser* brise fracasser*
         golpear* romper* rompo rompa parto partir reventar* quemar*""",
     # bodies
-    "b": """throat teeth bones skull neck face head legs knees zahne knochen schadel genick kehle fresse kopf beine gorge dents os crane cou gueule visage jambes dientes huesos craneo cuello garganta cara cabeza piernas""",
+   "b": """throat teeth bones skull neck face head legs knees zahne knochen schadel genick kehle fresse kopf beine gorge dents os crane cou gueule visage jambes dientes huesos craneo cuello garganta cara cabeza piernas""",
     # wishes
-    "w": "hope wish deserve deserves hoffe hoffentlich verdienst verdient wunsche espere souhaite merites merite meritez espero ojala deseo mereces merecen",
+   "w": "hope wish deserve deserves hoffe hoffentlich verdienst verdient wunsche espere souhaite merites merite meritez espero ojala deseo mereces merecen",
     # suffering
-    "h": """die dies dead suffer raped rot beg burn cancer hanged sterben stirbst krepier* verrecken leiden winseln krebs mourir creves crever souffrir pourrir supplier cancer morir mueras mueran sufrir pudras pudran suplicar""",
+   "h": """die dies dead suffer raped rot burn cancer hanged sterben stirbst krepier* verrecken leiden krebs mourir creves crever souffrir pourrir cancer morir mueras mueran sufrir pudras pudran""",
     # told to be silent
-    "u": """shut_your_mouth shut_up shut_your halt_dein_maul halt_die_fresse halts_maul dein_maul halt_die_klappe ferme_ta_gueule ta_gueule ferme_la cierra_la_boca callate_la_boca cierra_el_pico callate_ya""",
+   "u": """shut_your_mouth shut_up shut_your halt_dein_maul halt_die_fresse halts_maul dein_maul halt_die_klappe ferme_ta_gueule ta_gueule ferme_la cierra_la_boca callate_la_boca cierra_el_pico callate_ya""",
     # groups of people
-    "G": """women females foreigners immigrants migrants refugees muslims jews christians blacks whites asians arabs gays lesbians gypsies gypsy homosexuals trans disabled_people old_people poor_people
+   "G": """women females foreigners immigrants migrants refugees muslims jews christians blacks whites asians arabs gays lesbians gypsies gypsy homosexuals trans disabled_people poor_people
         africans mexicans chinese indians turks kurds poles russians germans americans swedes norwegians danes finns italians greeks romanians albanians serbs ukrainians syrians afghans pakistanis iraqis iranians israelis palestinians japanese koreans irish scots hindus sikhs buddhists atheists mormons
-        frauen weiber auslander* einwanderer* migranten fluchtlinge* muslime* juden jude schwarze* schwule* lesben zigeuner* behinderte* alte_leute turken polen russen araber*
-        femmes etrangers immigres migrants refugies musulmans juifs noirs arabes homosexuels gitans handicapes vieux_gens les_vieux
-        mujeres extranjeros inmigrantes refugiados musulmanes judios negros arabes gays homosexuales gitanos discapacitados los_viejos moros""",
+        frauen weiber auslander* einwanderer* migranten fluchtlinge* muslime* juden jude schwarze* schwule* lesben zigeuner* behinderte* turken polen russen araber*
+        femmes etrangers immigres migrants refugies musulmans juifs noirs arabes homosexuels gitans handicapes
+        mujeres extranjeros inmigrantes refugiados musulmanes judios negros arabes gays homosexuales gitanos discapacitados moros""",
     # to be
-    "=": "are is were be sind ist seid waren sont est sommes etes etaient son es somos sois eran being",
+   "=": "are is were be sind ist seid waren sont est sommes etes etaient son es somos sois eran being",
     # less than human
-    "d": """vermin cockroaches cockroach parasites parasite disease* plague cancer subhuman* rats animals beasts apes monkeys filth leeches savages infestation
+   "d": """vermin cockroaches cockroach parasites parasite disease* plague cancer subhuman* rats animals beasts apes monkeys filth leeches savages infestation
         ungeziefer kakerlaken parasiten seuche* krankheit pest untermensch* ratten tiere bestien affen abschaum
         vermine cafards parasites maladie peste sous_hommes animaux betes singes nuisibles
         alimanas ratas cucarachas parasitos enfermedad plaga peste animales bestias monos subhumanos escoria""",
     # killing off
-    "e": """exterminate* eradicate* wiped_out wipe_out gas_them gassed lynch* genocide no_right_to_live ausrotten ausgerottet vergasen vergast ausmerzen kein_recht_zu_leben
-        exterminer* eradiquer gazer aucun_droit_de_vivre exterminar* erradicar gasear ningun_derecho_a_vivir""",
+   "e": """exterminate* eradicate* wiped_out wipe_out gas_them gassed lynch* genocide ausrotten ausgerottet vergasen vergast ausmerzen
+        exterminer* eradiquer gazer exterminar* erradicar gasear""",
     # driving out
-    "r": """deport* eliminate* driven_out drive_out throw_out kick_out purge* get_rid belong_in_cages go_back_to sent_back locked_up
+   "r": """deport* eliminate* driven_out drive_out throw_out kick_out purge* get_rid go_back_to sent_back locked_up
         vertreib* vertrieben abschieb* abgeschoben rausschmeis* raus_mit expulser* expulsez chasser* eliminer* dehors_les
-        expulsar* deportar* eliminar* fuera_los echarlos""",
+        expulsar* deportar* eliminar* fuera_los""",
     # sexual words that are hardly ever meant otherwise
-    "S": """pussy pussies dildo* blowjob* porn* porno* cum cumming cumshot* handjob* orgasm* clitoris milf gangbang deepthroat cock_sucking suck_my_dick fuck_her fuck_him fuck_me horny slutty
+   "S": """pussy pussies dildo* blowjob* porn* porno* cum cumming cumshot* handjob* orgasm* clitoris milf gangbang deepthroat cock_sucking suck_my_dick fuck_her fuck_him fuck_me horny slutty
         muschi* ficken wichsen titten sperma blasen_lassen orgasmus* geil* bumsen
-        chatte_mouillee gode godes jouir nichons porno* baiser_contre baiser_sa pipe_de branler* bander
+         gode godes jouir nichons porno* branler* bander
         polla* follar* follara consolador* consoladores mamada* tetas correrse masturba* cachond*""",
     # sexual words with other meanings
-    "s": """sex sexy sexo sexe sexual sexually sexuel* sexuell* cock cocks dick dicks nipple* panties naked nude nudes tits boobs ass semen virgin erotic*
+   "s": """sex sexy sexo sexe sexual sexually sexuel* sexuell* cock cocks dick dicks nipple* panties naked nude nudes tits boobs ass semen virgin erotic*
         nippel schwanz schwanze hoschen nackt* brust* penis vagina erotik* jungfrau
         bite chatte teton* culotte nu nus nue nues sein seins sexe
         pezon* bragas desnud* pene culo erotic*""",
     # what goes with them
-    "c": """hot hard wet licked lick sucked suck sucking moan* thrust* undress* strip spread uncensored live_shows seduce* stiff*
-        hart steif lutscht* leckt* stohnt* feucht* spreiz* unzensiert* zieh_dich_aus stiesen
-        dure dur suca sucer lecha lecher gemir* gemisse mouillee deshabille* non_censure* durci*
-        dura duro chupo chupar lamio lamer gimio gemir mojada desnudate sin_censura endurecieron""",
+   "c": """hot hard wet licked lick sucked suck sucking moan* thrust* undress* strip spread seduce*
+        hart steif lutscht* leckt* stohnt* feucht* spreiz* zieh_dich_aus
+        dure dur suca sucer lecha lecher deshabille*
+        dura duro chupar lamer gemir mojada desnudate""",
     # clinical, technical or artistic contexts
-    "k": """clinic clinical health patients patient medical doctor museum biology screening anatomy hospital process server file database script statue sculpture breed* puppies pheasant recipe chapter
-        klinik gesundheit patienten arzt museum biologie krebsvorsorge krankenhaus prozess datei statue zuchter* welpen rezept
-        clinique sante patients medecin musee biologie depistage hopital processus fichier statue eleveur* chiots recette
-        clinica salud pacientes medico museo biologia hospital proceso archivo estatua criador* cachorros receta""",
+   "k": """clinic clinical health patients patient medical doctor museum biology screening anatomy hospital process server file database script statue sculpture recipe chapter
+        klinik gesundheit patienten arzt museum biologie krebsvorsorge krankenhaus prozess datei statue rezept
+        clinique sante patients medecin musee biologie depistage hopital processus fichier statue recette
+        clinica salud pacientes medico museo biologia hospital proceso archivo estatua receta""",
     # negation
-    "n": "not never isnt arent dont wont cant no nicht nie kein keine keinen ne pas jamais aucun nunca jamas",
+   "n": "not never isnt arent dont wont cant no nicht nie kein keine keinen ne pas jamais aucun nunca jamas",
     # reported speech
-    "p": """said says wrote writes quoted quote reported called calls novel article historian sagte schrieb zitierte nannte roman artikel dit ecrit citait appelait roman article dijo escribio citaba llamo novela articulo
+   "p": """said says wrote writes quoted quote reported called calls novel article historian sagte schrieb zitierte nannte roman artikel dit ecrit citait appelait roman article dijo escribio citaba llamo novela articulo
         insults insult beleidigung* insulte insultes insulto* banned warned verwarnt* averti* advirtio""",
 }
 #: Endings that * stands for.
