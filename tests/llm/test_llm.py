@@ -228,6 +228,85 @@ def test_filter_loses_nothing(altered):
     assert accepted > 40
 
 
+def test_passage_beside_another_item():
+    """The other item, of the same wording, has the longer alignment with item 1, but too thin a one to count."""
+    index = leakage.Index.of([r for r in ITEMS if r[1]], leakage.Rule())
+    passage = "the pearal turned thigai within 75 breaths, which Tougrarn took for proof."
+    for other in (ITEMS[1][1], ITEMS[2][1]):
+        for doc in (passage + " " + other, other + " " + passage):
+            assert 1 in index.found(leakage.plain_words(doc))
+
+
+def test_passage_whose_slips_stand_for_two_words():
+    """xdalorn is a slip of both of the item's own words."""
+    plain = "one two odalorn three four five edalorn six seven"
+    others = [(n, plain.replace("odalorn", "").replace("edalorn", "") + f" eight{n}") for n in (2, 3, 4)]
+    index = leakage.Index.of([(1, plain), *others], leakage.Rule())
+    assert index.found(plain.replace("odalorn", "xdalorn").replace("edalorn", "xdalorn").split()) == [1]
+
+
+def brute_close(item, doc, own, need, rule, least):
+    """Whether any chain of equal words is a case that is close on both sides, by trying all."""
+
+    def case(chain, cut):
+        span, width = chain[-1][0] - chain[0][0] + 1, chain[-1][1] - chain[0][1] + 1
+        sides = [{item[a] for a, _ in part} & own for part in (chain[:cut], chain[cut:])]
+        if cut:
+            hole = chain[cut][1] - chain[cut - 1][1] - 1
+            if not 0 < hole <= rule.gap or not all(sides) or need < 2:
+                return False
+            width -= hole
+        return span >= least and len(chain) >= rule.share * max(span, width) - 1e-9 and len(sides[0] | sides[1]) >= need
+
+    def grow(chain, i, j):
+        if chain and any(case(chain, cut) for cut in range(len(chain))):
+            return True
+        return any(grow([*chain, (a, b)], a + 1, b + 1) for a in range(i, len(item)) for b in range(j, len(doc)) if item[a] == doc[b])
+
+    return grow([], 0, 0)
+
+
+@pytest.mark.parametrize("need", [1, 2, 3])
+def test_every_close_alignment_counts(need):
+    rng, rule, told = random.Random(need), leakage.Rule(least=4, share=0.6, own=need, gap=3), [0, 0]
+    for _ in range(1500):
+        item = [rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9))]
+        doc = [rng.choice("abcdefghijxyz") for _ in range(rng.randrange(4, 11))]
+        own = set(rng.sample(sorted(set(item)), min(len(set(item)), 4)))
+        if len(own) < need:
+            continue
+        index = leakage.Index(rule, [[1]], [item])
+        index._build({w: 1 if w in own else leakage.OWN + 1 for w in leakage.grams(item, 4)})
+        want = brute_close(item, doc, own, need, rule, 4)
+        told[want] += 1
+        assert index._close(index.pieces[0], doc) == want
+        assert not want or index.found(doc) == [1]  # and the filter loses none
+    assert min(told) > 30
+
+
+def test_long_item_with_its_own_words_far_apart():
+    rng = random.Random(9)
+    item = [rng.choice(["the", "of", "and", "to", "in", "is", "that", "it", "was", "for"]) for _ in range(450)]
+    item[10], item[440] = "gorvelim", "plaskunde"
+    others = [(n, f"{n} the of and to in is that it was for") for n in (2, 3, 4)]
+    index = leakage.Index.of([(1, " ".join(item)), *others], leakage.Rule())
+    copy = item[:200] + ["altered"] + item[201:]
+    assert index.found(["x", "y"] * 40 + copy + ["z"] * 30) == [1]
+
+
+def test_passage_without_own_words(spark, rows):
+    """All words are in many items, and yet a run of them is in one; a run that three items have is not reported."""
+    rng = random.Random(11)
+    items = [(n, " ".join(rng.choice(["stone", "river", "cloud", "apple", "tiger", "piano", "olive", "metal", "candle", "bridge"]) for _ in range(60))) for n in range(40)]
+    common = "bridge candle bridge candle olive olive tiger tiger stone stone"
+    items = [(n, x + " " + common if n < 3 else x) for n, x in items]
+    texts = [(n, "a b c " + " ".join(x.split()[20:32]) + " d e f") for n, x in items] + [(99, "a b c " + common + " d e f")]
+    index = leakage.Index.of(items, leakage.Rule())
+    assert not index.any and [index.found(leakage.plain_words(t)) for _, t in texts] == [[n] for n, _ in items] + [[]]
+    got = leakage.leaked(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most_chars=5000)
+    assert rows(got) == [(n, n) for n, _ in items]  # several blocks of items
+
+
 def test_slips_share_a_shortened_word():
     rng = random.Random(8)
     for _ in range(3000):
